@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import cut, discard
-from .winnow import _B2, Anchors, carried_rows, covered, member, mixed, rolling, segments, split_parts, unpack
+from .winnow import _B2, SEGMENT_BYTES, Anchors, carried_rows, covered, member, mixed, rolling, segments, split_parts, unpack
 
 GRAM_WORDS = 8
 PART_BYTES = 24 << 20
@@ -196,7 +196,7 @@ def _verify(key, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(s, x) for _, _, s, x, _ in _answers(seg[again], h[again], "", 0)], columns=["seg", "hashes"])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 35, batches: int = 2, carry: tuple[str, ...] = (), original: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 35, batches: int = 2, carry: tuple[str, ...] = (), original: bool = False, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Words covered by a window of ``words`` words that starts anywhere else too are removed, all copies of them.
 
     Returns per row: the key, ``n_words``, ``n_removed`` (long) and ``kept``, the kept words joined by one space
@@ -206,7 +206,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
     number of additions to the index; the result doesn't depend on it.
     """
     spark = docs.sparkSession
-    table = segments(docs, text, key, carry)
+    table = segments(docs, text, key, carry, segment_bytes)
     total = table.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     parts = max(8, -(-total // PART_BYTES))
     log = FingerprintLog(spark, parts)

@@ -27,8 +27,8 @@ MISSING_ID = (1 << 63) - 1  # the place of a null id: after all others
 SEGMENTS = pa.schema([("seg", pa.int64()), ("ids", pa.list_(pa.int64())), ("null_id", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("body", pa.binary()), ("extra", pa.binary())])
 
 
-def segments(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows packed, as they come, to written segments of about 4 MB of UTF-8: no shuffle, one compressed body each.
+def segments(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """Rows packed, as they come, to written segments of about ``segment_bytes`` of UTF-8: no shuffle, one compressed body each.
 
     A longer document is a segment of its own. Null text is empty; a null id is flagged and ranks last. The
     columns named in ``carry`` travel along in Arrow's stream format.
@@ -48,7 +48,7 @@ def segments(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: tu
             rest = b.select(carried) if carried else None
             for row, (i, t) in enumerate(zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True)):
                 raw = t.encode("utf-8", "surrogatepass")
-                if bodies and total + len(raw) > SEGMENT_BYTES:
+                if bodies and total + len(raw) > segment_bytes:
                     if rest is not None and row > since:
                         extra.append(rest.slice(since, row - since))
                     since = row
