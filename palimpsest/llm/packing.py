@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .shared import cut, strings
+from .winnow import stretches
 
 
 @dataclass(frozen=True)
@@ -212,8 +213,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, t
             length, rank = b.column(2).to_numpy(), b.column(5).to_numpy(zero_copy_only=False)
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             order = np.argsort(length, kind="stable")
-            edges = np.flatnonzero(np.diff(length[order], prepend=-1))
-            for s, e in zip(edges, [*edges[1:], len(order)], strict=True):
+            for s, e in stretches(length[order]):
                 rows = order[s:e]
                 n = int(length[rows[0]])
                 at = np.searchsorted(p.ranks[n], rank[rows], "right") - 1

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import cut, discard
-from .winnow import _B2, SEGMENT_BYTES, Anchors, carried_rows, covered, member, mixed, rolling, segments, split_parts, unpack
+from .winnow import _B2, SEGMENT_BYTES, Anchors, carried_rows, covered, member, mixed, rolling, segments, split_parts, stretches, unpack
 
 GRAM_WORDS = 8
 PART_BYTES = 24 << 20
@@ -80,8 +80,7 @@ def _gather(rows: pd.DataFrame, flag: type = bool) -> tuple[np.ndarray, np.ndarr
 def _answers(segs: np.ndarray, hashes: np.ndarray, kind: str, part: int) -> list[tuple]:
     order = np.lexsort((hashes, segs))
     segs, hashes = segs[order], hashes[order]
-    at = np.flatnonzero(np.concatenate(([True], segs[1:] != segs[:-1]))) if len(segs) else np.zeros(0, np.int64)
-    return [(kind, part, int(segs[s]), hashes[s:e].tobytes(), None) for s, e in zip(at, [*at[1:], len(segs)], strict=True)]
+    return [(kind, part, int(segs[s]), hashes[s:e].tobytes(), None) for s, e in stretches(segs)]
 
 
 class FingerprintLog:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, discard
-from .winnow import MISSING_ID, Anchors, covered, mixed, segments, split_parts, unpack
+from .winnow import MISSING_ID, Anchors, covered, mixed, segments, split_parts, stretches, unpack
 
 GRAM_BYTES = 24
 SEGMENT_BYTES = 1 << 20
@@ -184,8 +184,7 @@ def _repeated(key, rows: pd.DataFrame) -> pd.DataFrame:
     h, seg = h[again], seg[again]
     order = np.argsort(seg, kind="stable")
     h, seg = h[order], seg[order]
-    at = np.flatnonzero(np.diff(seg, prepend=-1)).tolist() if len(seg) else []
-    return pd.DataFrame([(int(seg[s]), _six(h[s:e])) for s, e in zip(at, [*at[1:], len(seg)], strict=True)], columns=["seg", "hashes"])
+    return pd.DataFrame([(int(seg[s]), _six(h[s:e])) for s, e in stretches(seg)], columns=["seg", "hashes"])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -285,8 +284,7 @@ def _merge_part(length: int, width: int):
         hashes = row_hashes(matrix)
         out = []
         told = told[np.argsort(run_of[told], kind="stable")]
-        at = np.flatnonzero(np.diff(run_of[told], prepend=-1)).tolist()
-        for s, e in zip(at, [*at[1:], len(told)], strict=True):
+        for s, e in stretches(run_of[told]):
             c = class_of[told[s:e]]
             out.append((int(segs[run_of[told[s]]]), hashes[c].tobytes(), least[c].tobytes(), bits[c].tobytes()))
         return pd.DataFrame(out, columns=["seg", "hashes", "least", "bits"])

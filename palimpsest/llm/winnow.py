@@ -175,3 +175,11 @@ def split_parts(values: np.ndarray, parts: int) -> list[tuple[int, int]]:
     step = (1 << 64) // parts
     at = np.searchsorted(values, np.array([step * p for p in range(1, parts)], np.uint64)).tolist() if parts > 1 else []
     return list(zip([0, *at], [*at, len(values)], strict=True))
+
+
+def stretches(x: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each stretch of equal neighbours; none of an empty array."""
+    if not len(x):
+        return []
+    at = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+    return list(zip(at, at[1:], strict=False))
