@@ -12,6 +12,7 @@ group them by anchor.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,8 @@ from .winnow import MISSING_ID, Anchors, covered, mixed, segments, split_parts,
 
 GRAM_BYTES = 24
 SEGMENT_BYTES = 1 << 20
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
+LEAST_PARTS = 32
 
 
 class Contexts:
@@ -229,17 +231,20 @@ def _windows(rows: np.ndarray, least: np.ndarray, group: np.ndarray, length: int
     after, before = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
     text = np.concatenate((rows[:, length : length + left][:, ::-1], rows[:, :length]), 1)
     base = 0xC2B2AE3D27D4EB4F
-    prefix = np.zeros((len(rows), text.shape[1] + 1), np.uint64)
-    for j in range(text.shape[1]):
-        prefix[:, j + 1] = prefix[:, j] * np.uint64(base) + text[:, j] + np.uint64(1)
-    power = np.uint64(pow(base, length, 1 << 64))
+    top = np.uint64(pow(base, length - 1, 1 << 64))
+    one = np.uint64(1)
+    rolled = np.zeros(len(rows), np.uint64)
+    for j in range(length):
+        rolled = rolled * np.uint64(base) + text[:, j] + one
     bits = np.zeros(len(rows), np.uint64)
-    for o in range(left + 1):
+    for s in range(left + 1):
+        if s:
+            rolled = (rolled - (text[:, s - 1] + one) * top) * np.uint64(base) + text[:, s + length - 1] + one
+        o = left - s
         at = np.flatnonzero((o <= before) & (length - o <= after))
         if not len(at):
             continue
-        s = left - o
-        h = prefix[at, s + length] - prefix[at, s] * power
+        h = rolled[at]
         order = np.lexsort((least[at], h, group[at]))
         at, h = at[order], h[order]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (group[at][1:] != group[at][:-1])))
@@ -258,25 +263,27 @@ def _merge_part(length: int, width: int):
         runs = [(unzip.decompress(s), unzip.decompress(r)) for s, r in zip(rows["shared"], rows["rest"], strict=True)]
         owners = [np.frombuffer(unzip.decompress(x), np.int64) for x in rows["owner"]]
         gram = min(GRAM_BYTES, length)
-        run_of, class_of, group_of, contexts = [], [], [], []
-        group = -1
+        # Numbers and bytes are held packed: a part has hundreds of thousands of rows.
+        run_list, class_list, group_list, contexts = array("q"), array("q"), array("q"), bytearray()
+        group = number = -1
         for run, shared, row in merge_runs(runs, width):
-            if shared < width or not contexts:
-                if shared < gram or not contexts:
+            if shared < width or number < 0:
+                if shared < gram or number < 0:
                     group += 1
-                contexts.append(row)
-                group_of.append(group)
-            run_of.append(run)
-            class_of.append(len(contexts) - 1)
-        run_of, class_of, groups = np.array(run_of), np.array(class_of), np.array(group_of)
+                contexts += row
+                group_list.append(group)
+                number += 1
+            run_list.append(run)
+            class_list.append(number)
+        run_of, class_of, groups = (np.array(x, np.int64) for x in (run_list, class_list, group_list))
         # Rows of a run come out in the run's order.
         owner = np.empty(len(run_of), np.int64)
         order = np.argsort(run_of, kind="stable")
         owner[order] = np.concatenate(owners)
-        least = np.full(len(contexts), MISSING_ID)
+        matrix = np.frombuffer(contexts, np.uint8).reshape(-1, width)
+        least = np.full(len(matrix), MISSING_ID)
         np.minimum.at(least, class_of, owner)
-        matrix = np.frombuffer(b"".join(contexts), np.uint8).reshape(-1, width)
-        bits = np.zeros(len(contexts), np.uint64)
+        bits = np.zeros(len(matrix), np.uint64)
         many = np.flatnonzero(np.bincount(groups)[groups] > 1)
         if len(many):
             bits[many] = _windows(matrix[many], least[many], groups[many], length)
@@ -302,11 +309,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     """
     table = segments(docs, text, key, segment_bytes=segment_bytes)
     total = table.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    parts = max(8, -(-total // PART_BYTES))
-    known = cut(_anchor_entries(table, length, parts).groupBy("part").applyInPandas(_repeated, "seg long, hashes binary"), "anchors")
+    parts = max(LEAST_PARTS, -(-total // PART_BYTES))
+    known = cut(_anchor_entries(table, length, parts).repartition(parts, "part").groupBy("part").applyInPandas(_repeated, "seg long, hashes binary"), "anchors")
     suspects = table.select("seg", "ids", "null_id", "sizes", "body").join(known.groupBy("seg").agg(F.collect_list("hashes").alias("wanted")), "seg")
     width = 2 * length - min(GRAM_BYTES, length) + 2
-    merged = cut(_runs(suspects, length, parts).groupBy("part").applyInPandas(_merge_part(length, width), "seg long, hashes binary, least binary, bits binary"), "contexts")
+    merged = cut(_runs(suspects, length, parts).repartition(parts, "part").groupBy("part").applyInPandas(_merge_part(length, width), "seg long, hashes binary, least binary, bits binary"), "contexts")
     discard(known)
     answers = merged.groupBy("seg").agg(F.collect_list(F.struct("hashes", "least", "bits")).alias("told"))
     names = [key, "n_bytes", "n_removed", "n_spans", "spans", "kept"]
