@@ -140,8 +140,12 @@ class Anchors:
         starts = np.flatnonzero(np.arange(len(at)) + length <= ends[: len(at)]) if len(at) else np.zeros(0, np.int64)
         self.starts, self.at = starts, at[starts].astype(np.int64)  # start and anchor position of each window
         self.places = self.at[np.concatenate(([True], self.at[1:] != self.at[:-1]))] if len(starts) else self.at
-        self.hashes = h[self.places]
         self._h = h
+        self.hashes = self._named(self.places)
+
+    def _named(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the anchors at ``at``, mixed anew: those that were chosen for ranking low are spread evenly again."""
+        return mixed(self._h[at] + np.uint64(_B2))
 
     def values(self) -> tuple[np.ndarray, np.ndarray]:
         """Different anchor hashes, ascending, and whether they occur at several places of this segment."""
@@ -150,7 +154,7 @@ class Anchors:
 
     def windows_at(self, wanted: np.ndarray) -> np.ndarray:
         """Which windows have an anchor whose hash is in ``wanted`` (sorted)."""
-        return member(self._h[self.at], wanted)
+        return member(self._named(self.at), wanted)
 
     def places_at(self, wanted: np.ndarray) -> np.ndarray:
         """Anchor places whose hash is in ``wanted`` (sorted)."""
