@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -50,3 +52,10 @@ def strings(column) -> list[str]:
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch in the order of ``schema``."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def tidy() -> None:
+    """Hand memory that a finished piece of work freed back to the system: workers are reused, and idle ones count."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import cut, discard
-from .winnow import _B2, SEGMENT_BYTES, Anchors, carried_rows, covered, member, mixed, rolling, segments, split_parts, stretches, unpack
+from .winnow import _B2, SEGMENT_BYTES, Anchors, carried_rows, covered, member, mixed, rolling, rows_of, segments, split_parts, stretches, unpack
 
 GRAM_WORDS = 8
 PART_BYTES = 24 << 20
@@ -51,12 +51,6 @@ def _words(bodies: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarr
     return words, sizes, np.fromiter((_hashes[w] for ws in words for w in ws), np.int64, n).astype(np.uint64)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for b in batches:
-        for k in range(b.num_rows):
-            yield b.slice(k, 1).to_pylist()[0]
-
-
 def _entries(seg: int, u: np.ndarray, flags: np.ndarray, parts: int) -> Iterator[tuple]:
     for p, (s, e) in enumerate(split_parts(u, parts)):
         if e > s:
@@ -143,7 +137,7 @@ class FingerprintLog:
 
 def _anchor_entries(table: DataFrame, words: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in rows_of(batches):
             _, sizes, h = _words(unpack(row)[2])
             out = list(_entries(row["seg"], *Anchors(h, sizes, words, min(GRAM_WORDS, words)).values(), parts))
             if out:
@@ -173,7 +167,7 @@ def _window_entries(table: DataFrame, words: int, parts: int) -> DataFrame:
     """Different candidate windows of each segment; the flags column has the second hash and the repeat bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in rows_of(batches):
             _, _, _, h1, h2 = _candidates(row, words)
             u, at, n = np.unique(h1, return_index=True, return_counts=True)
             out = list(_entries(row["seg"], u, (h2[at] & np.uint32(~np.uint32(1))) | (n > 1).astype(np.uint32), parts))
@@ -220,7 +214,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), *carried])
 
     def finish(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(blocks):
+        for row in rows_of(blocks):
             ids, nulls, bodies = unpack(row)
             found, sizes, h = _words(bodies)
             ends = np.cumsum(sizes).tolist()

@@ -22,8 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, discard
-from .winnow import MISSING_ID, Anchors, covered, mixed, segments, split_parts, stretches, unpack
+from .shared import cut, discard, tidy
+from .winnow import MISSING_ID, Anchors, covered, mixed, rows_of, segments, split_parts, stretches, unpack
 
 GRAM_BYTES = 24
 SEGMENT_BYTES = 1 << 20
@@ -150,7 +150,7 @@ def merge_runs(runs: list[tuple[bytes, bytes]], width: int) -> Iterator[tuple[in
 
 def _anchor_entries(table: DataFrame, length: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in rows_of(batches):
             ids, _, bodies = unpack(row)
             u, several = Contexts(bodies, ids, length).anchors.values()
             short = u >> np.uint64(16)
@@ -189,17 +189,11 @@ def _repeated(key, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(int(seg[s]), _six(h[s:e])) for s, e in stretches(seg)], columns=["seg", "hashes"])
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for b in batches:
-        for k in range(b.num_rows):
-            yield b.slice(k, 1).to_pylist()[0]
-
-
 def _runs(table: DataFrame, length: int, parts: int) -> DataFrame:
     """Sorted front-coded run of each segment and part: different suffix rows and the smallest id of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in rows_of(batches):
             ids, _, bodies = unpack(row)
             c = Contexts(bodies, ids, length)
             wanted = np.unique(np.concatenate([_eight(x) for x in row["wanted"]]))
@@ -294,6 +288,7 @@ def _merge_part(length: int, width: int):
         for s, e in stretches(run_of[told]):
             c = class_of[told[s:e]]
             out.append((int(segs[run_of[told[s]]]), hashes[c].tobytes(), least[c].tobytes(), bits[c].tobytes()))
+        tidy()
         return pd.DataFrame(out, columns=["seg", "hashes", "least", "bits"])
 
     return merge
@@ -319,7 +314,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     names = [key, "n_bytes", "n_removed", "n_spans", "spans", "kept"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in rows_of(batches):
             ids, nulls, bodies = unpack(row)
             c = Contexts(bodies, ids, length)
             gone = _gone(c, row["told"] or [])

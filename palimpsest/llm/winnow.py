@@ -16,7 +16,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .shared import cut, strings
+from .shared import cut, strings, tidy
 
 SEGMENT_BYTES = 4 << 20
 _POS_BITS = 28  # a segment holds under 2 ** 28 symbols; ranks use the other bits of the hash
@@ -43,7 +43,7 @@ def segments(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: tu
             body = zstandard.ZstdCompressor(level=3).compress(b"".join(bodies))
             return pa.RecordBatch.from_pydict({"seg": [base + n], "ids": [[MISSING_ID if i is None else i for i in ids]], "null_id": [[i is None for i in ids]], "sizes": [list(map(len, bodies))], "body": [body], "extra": [_stream(extra)]}, SEGMENTS)
 
-        for b in batches:
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
             since = 0
             rest = b.select(carried) if carried else None
             for row, (i, t) in enumerate(zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True)):
@@ -62,6 +62,8 @@ def segments(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: tu
                 extra.append(rest.slice(since))
         if bodies:
             yield out()
+        bodies, extra = [], []
+        tidy()
 
     chosen = docs.select(docs[key].cast("long").alias("i"), docs[text].alias("t"), *[docs[c].alias(k) for c, k in zip(carry, carried, strict=True)])
     return cut(chosen.mapInArrow(pack, "seg long, ids array<long>, null_id array<boolean>, sizes array<long>, body binary, extra binary"), "segments")
@@ -187,3 +189,11 @@ def stretches(x: np.ndarray) -> list[tuple[int, int]]:
         return []
     at = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
     return list(zip(at, at[1:], strict=False))
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time (segments are large); memory is handed back at the end."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+    tidy()
