@@ -125,6 +125,11 @@ def subsequence_vectors(spans: list[bytes]) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+def _kernel(spans: list[bytes], z: np.ndarray) -> np.ndarray:
+    """Normalised kernel values of spans with the landmark vectors z, a block of spans at a time."""
+    return np.concatenate([subsequence_vectors(spans[k : k + 128]) @ z.T for k in range(0, len(spans), 128)])
+
+
 def _train(positive: list[str], negative: list[str], landmarks: int) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine in the Nystroem space, folded to a weight per subsequence."""
     marks = "._*x-"
@@ -133,16 +138,15 @@ def _train(positive: list[str], negative: list[str], landmarks: int) -> tuple[np
     pos = [s for w in positive + padded + spaced for s in _spans(w)[:1]]
     neg = [s for w in negative for s in _spans(w)]
     pv = subsequence_vectors([_spans(w)[0] for w in positive])
-    nv = subsequence_vectors(neg)
-    hard = np.argsort(-(nv @ pv.T).max(1), kind="stable")[: max(0, landmarks - len(pv)) // 2]
-    easy = np.linspace(0, len(nv) - 1, min(len(nv), max(1, landmarks - len(pv) - len(hard)))).astype(int)
-    z = np.concatenate((pv, nv[np.unique(np.concatenate((hard, easy)))]))
+    hard = np.argsort(-_kernel(neg, pv).max(1), kind="stable")[: max(0, landmarks - len(pv)) // 2]
+    easy = np.linspace(0, len(neg) - 1, min(len(neg), max(1, landmarks - len(pv) - len(hard)))).astype(int)
+    z = np.concatenate((pv, subsequence_vectors([neg[k] for k in np.unique(np.concatenate((hard, easy)))])))
     val, vec = np.linalg.eigh(z @ z.T)
     keep = val > 1e-6
     root = vec[:, keep] / np.sqrt(val[keep])
-    x = np.concatenate((subsequence_vectors(pos), nv)) @ z.T @ root
-    y = np.concatenate((np.ones(len(pos)), -np.ones(len(nv))))
-    cost = np.where(y > 0, len(y) / (2 * len(pos)), len(y) / (2 * len(nv)))
+    x = _kernel(pos + neg, z) @ root
+    y = np.concatenate((np.ones(len(pos)), -np.ones(len(neg))))
+    cost = np.where(y > 0, len(y) / (2 * len(pos)), len(y) / (2 * len(neg)))
     w, b = np.zeros(x.shape[1]), 0.0
     step, mw, mb = 0.4 / (1 + np.linalg.norm(x.T @ (cost[:, None] * x), 2) / len(y)), 0.0, 0.0
     for _ in range(1500):
