@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from hashlib import sha256
 from pathlib import Path
 
 import pandas as pd
@@ -18,6 +19,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .shared import claim, tidy
+
 #: Fixed value: the published pattern that splits text before byte-level merges.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _SHORT = 96
@@ -92,7 +95,7 @@ class Codec:
     def _word_text(self, word: str) -> str:
         out = self._texts.get(word)
         if out is None:
-            if len(self._texts) > 400_000:
+            if len(self._texts) > 250_000:
                 self._texts.clear()
             out = self._texts[word] = ",".join(map(str, self.encode_word(word.encode("utf-8", "replace"))))
         return out
@@ -126,7 +129,7 @@ class Codec:
         return b"".join([self._decoded.get(p) or self._decode(p) for p in parts]).decode("utf-8", "replace")
 
     def _decode(self, part: str) -> bytes:
-        if len(self._decoded) > 400_000:
+        if len(self._decoded) > 250_000:
             self._decoded.clear()
         out = self._decoded[part] = b"".join([self.bytes_of[int(i)] for i in part.split(",")])
         return out
@@ -169,10 +172,9 @@ def decoded(path: str, ids: str = "ids") -> Column:
 
 def round_trip(path: str, text: str = "text") -> Column:
     """Column of (n_tokens, ids_sha256, decoded_sha256): the text encoded, its ids decoded again, both digested."""
-    from hashlib import sha256
-
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def of(blocks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("bpe", _codecs)
         own = codec(path)
         for block in blocks:
             out = []
@@ -181,5 +183,6 @@ def round_trip(path: str, text: str = "text") -> Column:
                 ids = ",".join(parts)
                 out.append((ids.count(",") + 1 if ids else 0, sha256(ids.encode()).hexdigest(), sha256(own.decode_parts(parts).encode("utf-8", "replace")).hexdigest()))
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        tidy()
 
     return of.asNondeterministic()(F.col(text))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidy
+
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 18
@@ -149,6 +151,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", label_as
             else:
                 labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             yield pd.DataFrame({"label": labels, "score": np.clip(scores, 0, 1)})
+        tidy()
 
     got = docs.withColumn("__language", predict.asNondeterministic()(F.col(text)))
     return got.withColumn(label_as, F.col("__language.label")).withColumn(score_as, F.col("__language.score")).drop("__language")

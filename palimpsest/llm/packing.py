@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import cut, strings
+from .shared import claim, cut, strings, tidy
 from .winnow import stretches
 
 
@@ -138,7 +138,7 @@ class _Bytes(dict):
         self.library.no_padding()
 
     def learn(self, words: set[str]) -> None:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         new = [w for w in words if w not in self]
         for at in range(0, len(new), 2000):
@@ -159,12 +159,9 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     if path not in _tokenizers:
         _tokenizers[path] = _Bytes(path)
     own = _tokenizers[path]
-    out = []
-    for at in range(0, len(texts), 500):
-        split = [_pieces(t) for t in texts[at : at + 500]]
-        own.learn({w for ws in split for w in ws})
-        out += [b"".join(map(own.__getitem__, ws)) for ws in split]
-    return out
+    split = [_pieces(t) for t in texts]
+    own.learn({w for ws in split for w in ws})
+    return [b"".join(map(own.__getitem__, ws)) for ws in split]
 
 
 def _pieces(text: str) -> list[str]:
@@ -172,16 +169,23 @@ def _pieces(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
+def _encoded_rows(path: str, b: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+    for k in range(0, b.num_rows, 500):
+        part = b.slice(k, 500)
+        yield from zip(part.column(0).to_pylist(), encode_texts(path, strings(part.column(1))), strict=True)
+
+
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Written pieces of each document's ids (with the end id), with the task and the rank among its equals there."""
     schema = pa.schema([(key, pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("task", pa.int64()), ("rank", pa.int64())])
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", _tokenizers)
         task, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for b in batches:
             out: list[list] = [[] for _ in schema]
-            for i, raw in zip(b.column(0).to_pylist(), encode_texts(tokenizer, strings(b.column(1))), strict=True):
+            for i, raw in _encoded_rows(tokenizer, b):
                 raw += end
                 n = len(raw) // 4
                 for s in range(0, n, window):
@@ -190,6 +194,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048,
                         column.append(x)
                     seen[size] += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+        tidy()
 
     kinds = f"`{key}` long, start long, length long, ids_crc32 long, doc_tokens long, task long, rank long"
     return cut(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, kinds), "pieces")

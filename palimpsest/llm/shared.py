@@ -59,3 +59,20 @@ def tidy() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
         ctypes.CDLL(None).malloc_trim(0)
+
+
+_caches: dict[str, object] = {}
+_last = ""
+
+
+def claim(name: str, *caches) -> None:
+    """Called where a worker starts on an operator's rows: what other operators have cached in it goes."""
+    global _last
+    if _last != name:
+        for other, held in _caches.items():
+            if other != name:
+                for c in held:
+                    c.clear()
+        _caches[name] = caches
+        _last = name
+        tidy()

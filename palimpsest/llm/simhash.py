@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut, discard
+from .shared import cut, tidy
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -55,6 +55,7 @@ def fingerprint_column(text: str = "text", shingle: int = 3):
     def of(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for block in blocks:
             yield pd.Series(np.fromiter((simhash(x, shingle) for x in block), np.uint64, len(block)).astype(np.int64))
+        tidy()
 
     return of.asNondeterministic()(F.col(text))
 

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import strings
+from .shared import claim, strings, tidy
 from .winnow import mixed, rolling
 
 _SPACE = 1 << 48
@@ -26,7 +26,7 @@ _SPACE = 1 << 48
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word) >> 1
         return h
@@ -117,7 +117,7 @@ def _in_order(docs: DataFrame, text: str, key: str, range_chars: int) -> Neighbo
         zip_ = zstandard.ZstdCompressor(level=3)
         for b in batches:
             out: list[tuple] = []
-            for i, t in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
+            for i, t in ((i, t) for s in range(0, b.num_rows, 256) for i, t in zip(b.column(0).slice(s, 256).to_pylist(), strings(b.column(1).slice(s, 256)), strict=True)):
                 body = zip_.compress(t.encode("utf-8", "surrogatepass"))
                 at = n - 1 if i is None or not len(known.value) else int(np.searchsorted(known.value, i, "right")) - 1
                 out.append((at, False, i, body))
@@ -145,6 +145,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     schema = pa.schema([(key, pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_shingles", pa.float64()), ("edited_contained", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sketches", _hashes)
         unzip = zstandard.ZstdDecompressor()
         last: tuple | None = None
         done: list[tuple] = []
@@ -168,6 +169,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
                 done = []
+        tidy()
 
     ddl = f"`{key}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, edited_contained double"
     return dealt.rows.mapInArrow(run, ddl)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, discard
+from .shared import claim, cut, discard
 from .winnow import _B2, SEGMENT_BYTES, Anchors, carried_rows, covered, member, mixed, rolling, rows_of, segments, split_parts, stretches, unpack
 
 GRAM_WORDS = 8
@@ -34,7 +34,7 @@ class _WordHashes(dict):
     """Word -> hash, kept until there are many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word) >> 1
         return h
@@ -45,6 +45,7 @@ _hashes = _WordHashes()
 
 def _words(bodies: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """Words of each document, their number, and all their hashes."""
+    claim("substring_dedup", _hashes)
     words = [b.split() for b in bodies]
     sizes = np.array(list(map(len, words)), np.int64)
     n = int(sizes.sum())

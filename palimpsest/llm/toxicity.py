@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import claim, tidy
+
 SYMBOLS = 31  # 0: a gap; 1-26: a-z; 27-30: other letters
 _DECAY = 0.7
 _WINDOW, _STRIDE = 12, 3
@@ -172,13 +174,15 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-class _Margins(dict):
-    """Highest span margin of each word, kept until there are many."""
+_margins: dict[str, float] = {}  # highest span margin of each word under the model of ``_margins_of``
+_margins_of: list = [None]
 
 
 def text_margins(model: ToxicityModel, texts: list[str | None], cache: dict) -> np.ndarray:
+    if len(texts) > 200:  # a block may hold ten thousand texts
+        return np.concatenate([text_margins(model, texts[k : k + 200], cache) for k in range(0, len(texts), 200)])
     sets = [set(words_of(t)) for t in texts]
-    if len(cache) > 400_000:
+    if len(cache) > 250_000:
         cache.clear()
     missing = list({w for s in sets for w in s if w not in cache})
     for at in range(0, len(missing), 20_000):
@@ -206,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, max_
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(sample), "k")
 
     def words(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in blocks:
+        for block in (b[k : k + 200] for b in blocks for k in range(0, len(b), 200)):
             out = [(w, bool(y)) for t, y in zip(block.t, block.y, strict=True) for w in {w.strip(".,;:!?\"'()") for w in words_of(t)} if 3 <= len(w) <= 24]
             yield pd.DataFrame(out, columns=["w", "y"])
 
@@ -253,12 +257,17 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", score_as: s
 
     @F.pandas_udf("double")
     def of(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m, cache = shared.value, {}
+        claim("toxicity", _margins)
+        m, cache = shared.value, _margins
+        if m is not _margins_of[0]:
+            cache.clear()
+            _margins_of[0] = m
         for block in blocks:
             if m.weights is None:
                 yield pd.Series(np.zeros(len(block)))
             else:
                 x = text_margins(m, list(block), cache)
                 yield pd.Series(1 / (1 + np.exp(-np.clip(m.slope * x + m.offset, -30, 30))))
+        tidy()
 
     return docs.withColumn(score_as, of.asNondeterministic()(F.col(text)))
