@@ -9,10 +9,12 @@ among the pieces of its length, which the tasks number themselves: no piece is s
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -138,7 +140,7 @@ class _Bytes(dict):
         self.library.no_padding()
 
     def learn(self, words: set[str]) -> None:
-        if len(self) > 200_000:
+        if len(self) > 450_000:
             self.clear()
         new = [w for w in words if w not in self]
         for at in range(0, len(new), 2000):
@@ -160,12 +162,24 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
         _tokenizers[path] = _Bytes(path)
     own = _tokenizers[path]
     split = [_pieces(t) for t in texts]
-    own.learn({w for ws in split for w in ws})
+    own.learn(set().union(*split))
     return [b"".join(map(own.__getitem__, ws)) for ws in split]
 
 
+_MARKS = re.compile(r"(?:[^\w\s]|_){2}")
+
+
 def _pieces(text: str) -> list[str]:
-    """The text between spaces, tabs and line ends; other white space stays in a piece, for the library to drop."""
+    """The text between spaces, tabs and line ends; other white space stays in a piece, for the library to drop.
+
+    Where no two marks follow each other, full stops and commas are tokens by themselves and stand apart, and a
+    text in composed form may be lower-cased first (but for two letters whose lower case depends on context);
+    both make for far fewer different pieces.
+    """
+    if not _MARKS.search(text):
+        text = text.replace(".", " . ").replace(",", " , ")
+    if text.isascii() or ("\u0130" not in text and "\u03a3" not in text and is_normalized("NFC", text)):
+        text = text.lower()
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
