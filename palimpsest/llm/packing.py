@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -138,15 +139,31 @@ class _Bytes(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def learn(self, words: set[str]) -> None:
         if len(self) > 450_000:
             self.clear()
         new = [w for w in words if w not in self]
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
+        letters = [w for w in new if w.isalpha()]  # one token group each, so that many can be encoded as one text
+        for at in range(0, len(letters), 1000):
+            part = letters[at : at + 1000]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(part):  # not split as expected: one by one
+                self._single(part)
+                continue
+            raw = ids.tobytes()
+            self.update(zip(part, [raw[s:e] for s, e in zip([0, *stops], stops, strict=False)], strict=True))
+        self._single([w for w in new if not w.isalpha()])
+
+    def _single(self, words: list[str]) -> None:
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
             for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+                self[w] = array("I", e.ids).tobytes()
 
 
 _tokenizers: dict[str, _Bytes] = {}
