@@ -246,16 +246,10 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", words
 
     ``n_chars``, if there, is set to the new length. A text that is removed whole becomes empty; its row stays.
     """
-    rest = tuple(c for c in docs.columns if c not in (text, key))
-    out = remove_repeats(docs.withColumn(key, F.col(key).cast("long")), text, key, words, carry=tuple(rest), original=True).drop("n_words", "n_removed") if not {"n_words", "n_removed", "kept"} & set(rest) else _apart(docs, text, key, words, rest)
-    out = out.withColumnRenamed("kept", text)
+    own = {c: f"__own_{c}" for c in docs.columns if c not in (text, key)}  # so that no column is named like a result's
+    ready = docs.withColumn(key, F.col(key).cast("long")).withColumnsRenamed(own)
+    out = remove_repeats(ready, text, key, words, carry=tuple(own.values()), original=True).drop("n_words", "n_removed")
+    out = out.withColumnRenamed("kept", text).withColumnsRenamed({v: k for k, v in own.items()})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
-
-
-def _apart(docs: DataFrame, text: str, key: str, words: int, rest: tuple[str, ...]) -> DataFrame:
-    """For tables whose own columns are named like the result's: carried under other names."""
-    names = {c: f"__own_{c}" for c in rest}
-    out = remove_repeats(docs.withColumnsRenamed(names), text, key, words, carry=tuple(names.values()), original=True)
-    return out.drop("n_words", "n_removed").withColumnRenamed("kept", text).withColumnsRenamed({v: k for k, v in names.items()})

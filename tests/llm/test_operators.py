@@ -1,0 +1,241 @@
+"""Each operator against brute force or an exact round trip, and on awkward tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from palimpsest.llm import bpe, components, embedding_dedup, html_text, language_id, packing, simhash, sketches, substring_dedup, suffix_dedup, toxicity
+
+DDL = "doc_id long, text string, lang string, source string, n_chars long, kept string"
+BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+
+
+def texts(n=90, seed=5):
+    rng = random.Random(seed)
+    words = ["the", "of", "Maß", "naïve", "and,", "x", "data\t", "so.\n", "wörter", "end"]
+    rows = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 120))) for _ in range(n)]
+    rows += [rows[3], rows[4] + " tail", "", None, "   ", rows[5][7:], "ab" * 300, rows[3]]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if i % 2 else "de", "s", 0, "clash") for i, t in enumerate(texts())]
+    return spark.createDataFrame(rows, DDL).repartition(3).persist()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DDL)
+
+
+def test_substring_against_brute_force(docs):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs, segment_bytes=2000, batches=3).collect()}
+    words = {r.doc_id: re.findall("[^\x20\x09-\x0D]+", r.text or "") for r in docs.collect()}
+    seen = Counter(tuple(w[i : i + 35]) for w in words.values() for i in range(len(w) - 34))
+    for k, w in words.items():
+        gone = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        assert got[k] == (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
+
+
+def test_log_compacts_to_the_same_answer(docs, monkeypatch):
+    monkeypatch.setattr(substring_dedup.FingerprintLog.__init__, "__defaults__", (1,))
+    a = substring_dedup.remove_repeats(docs, batches=4, segment_bytes=2000).select("doc_id", "n_removed")
+    b = substring_dedup.remove_repeats(docs, batches=1).select("doc_id", "n_removed")
+    assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_drop_repeats_keeps_columns_and_untouched_texts(docs):
+    before = {r.doc_id: r for r in docs.collect()}
+    out = substring_dedup.drop_repeats(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        assert r.kept == "clash" and r.n_chars == len(r.text) and (r.text == (before[r.doc_id].text or "") or len(r.text) < len(before[r.doc_id].text))
+
+
+@pytest.mark.parametrize("segment", [1500, 1 << 20])
+def test_suffix_against_brute_force(docs, segment):
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    first = {}
+    for i, b in rows:
+        for s in range(len(b) - 49):
+            first[b[s : s + 50]] = min(first.get(b[s : s + 50], 1 << 60), i)
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, segment_bytes=segment).collect()}
+    for i, b in rows:
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - 49):
+            if first[b[s : s + 50]] < i:
+                gone[s : s + 50] = True
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, bytes(r.kept)) == (len(b), gone.sum(), bytes(np.frombuffer(b, np.uint8)[~gone]))
+        assert r.n_spans == (np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum() == len(r.spans) // 2
+
+
+def test_loser_tree_merges_and_knows_prefixes():
+    rng = random.Random(2)
+    for _ in range(25):
+        rows = [sorted({bytes(rng.choice(b"\0ab") for _ in range(9)) for _ in range(rng.randint(1, 30))}) for _ in range(rng.randint(1, 7))]
+        coded = [suffix_dedup.front_code(np.frombuffer(b"".join(r), np.uint8).reshape(-1, 9)) for r in rows]
+        out = list(suffix_dedup.merge_runs([(s.tobytes(), b) for s, b in coded], 9))
+        assert [x[2] for x in out] == sorted(x for r in rows for x in r)
+        for a, b in zip(out, out[1:]):
+            assert b[1] == next((k for k in range(9) if a[2][k] != b[2][k]), 9)
+
+
+def test_simhash_links_every_close_pair(spark, docs):
+    got = {r.doc_id: (r.fp & (2**64 - 1), r.component) for r in simhash.simhash_components(docs).collect()}
+    parent = {k: k for k in got}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in got:
+        for b in got:
+            if (got[a][0] ^ got[b][0]).bit_count() <= 2:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert all(got[k][1] == find(k) for k in got)
+    dense = list(range(900)) + [1 << 40 | i for i in range(0, 900, 7)]
+    want = {(min(a, b), max(a, b)) for a in dense for b in dense if a != b and (a ^ b).bit_count() <= 2}
+    pairs = simhash.near_pairs(spark.createDataFrame([(x,) for x in dense], "fp long"), small=8)
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in pairs.collect()} == want
+
+
+def test_keep_one(docs, empty):
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    assert simhash.keep_one(empty).count() == 0
+
+
+def test_components(spark):
+    edges = [(i + 1, i) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
+    got = dict(components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert {got[k] for k in range(41)} == {0} and {got[k] for k in range(100, 160)} == {100}
+
+
+def test_bpe_round_trip():
+    codec, library, rng = bpe.Codec(BYTES), Tokenizer.from_file(BYTES), random.Random(1)
+    pool = "abc  \n\t\x0b\x1c\x85\xa0éß日本'stre'123²½,.!😀\x00"
+    for n in range(400):
+        s = "".join(rng.choice(pool) for _ in range(rng.randint(0, 150))) + "<|endoftext|>" * (n % 9 == 0)
+        ids = library.encode(s, add_special_tokens=False).ids
+        assert codec.encode(s) == ids and codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    assert codec.encode("ab" * 2000) == library.encode("ab" * 2000, add_special_tokens=False).ids
+
+
+def test_fingerprints(docs):
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    for chars in (800, 12_000_000):
+        got = {r.doc_id: r for r in sketches.fingerprints(docs, range_chars=chars).collect()}
+        assert len(got) == len(rows)
+        for r, n in zip(rows, rows[1:] + rows[:1]):
+            a, b = r.text or "", n.text or ""
+            edited = a[: len(a) - len(a) // 4] + b[: len(a) // 4]
+            assert got[r.doc_id].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[r.doc_id].n_chars == len(a)
+            assert got[r.doc_id].fingerprint == sketches.pack(sketches.sketch(a))
+
+
+def test_sketch_estimates():
+    a, b = ([f"w{i}" for i in range(s, s + 3000)] for s in (0, 1000))
+    x, y = sketches.sketch(" ".join(a)), sketches.sketch(" ".join(b))
+    assert abs(sketches.resemblance(x, y) - 0.5) < 0.15 and abs(sketches.containment(x, y) - 2 / 3) < 0.2 and abs(sketches.distinct(x) / 2996 - 1) < 0.3
+    assert (sketches.merge(sketches.sketch("a b c d e f"), sketches.sketch("c d e f g h")) == np.union1d(sketches.sketch("a b c d e f"), sketches.sketch("c d e f g h"))).all()
+    assert (sketches.unpack(sketches.pack(x)) == x).all()
+
+
+def test_packing(docs):
+    library = Tokenizer.from_file(WORDS)
+    out = packing.pack(docs, WORDS, window=64).toPandas()
+    at = out.sort_values(["sequence_id", "offset"])
+    end = 0
+    for p in at.itertuples():
+        end = end if p.offset else 0
+        assert p.offset == end and p.offset + p.length <= 64
+        end += p.length
+    assert sorted(at.sequence_id.unique()) == list(range(at.sequence_id.nunique()))
+    for r in docs.collect():
+        ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        own = out[out.doc_id == r.doc_id].sort_values("start")
+        assert own.length.sum() == len(ids)
+        assert all(zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for p in own.itertuples())
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((60, 16))
+    rows = [(i, (base[i % 60] + 0.05 * rng.standard_normal(16)).tolist()) for i in range(240)]
+    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, [1.0, 2.0]), (905, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    x = np.array([v for _, v in rows[:240]], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.95
+    np.fill_diagonal(link, False)
+    for block in (1024, 3):
+        got = {r.vec_id: r for r in embedding_dedup.embedding_components(df, block=block).collect()}
+        found = sum(got[i].n_links for i in range(240))
+        assert found >= 0.9 * link.sum() and all(got[i].n_links <= link[i].sum() for i in range(240))
+        assert all(got[k].n_links == 0 and got[k].kept for k in range(900, 906))
+    assert embedding_dedup.embedding_components(df.limit(0)).count() == 0
+
+
+def test_html():
+    page = '<html><head><title>T</title></head><body><nav>menu</nav><header><h1>Site</h1></header><div class="cookie-notice">We use</div><article><h1>Head &amp; line</h1><p>One<br>two <b>bold</b>word<p>Three<script>x="</p>"</script><div class="comments"><p>bad</p></div><form>f</form></article><footer>x</footer></body></html>'
+    assert html_text.main_text(page) == "Head & line\n\nOne two boldword\n\nThree"
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p>") == ""
+
+
+def test_language_and_toxicity(spark):
+    rng = random.Random(4)
+    en, fr = ["the", "and", "with", "thing", "shall"], ["le", "que", "été", "pour", "eaux"]
+    rows = []
+    for i in range(400):
+        toxic = i % 8 == 0
+        words = [rng.choice(en if i % 2 else fr) for _ in range(40)] + (["moron", "scum"] if toxic else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "en" if i % 2 else "fr", "s", 0, int(toxic)))
+    rows += [(900, None, "en", "s", 0, 0), (901, "", None, "s", 0, 0), (902, "12 34 !!", "en", "s", 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, toxic int")
+    known = language_id.identify(df, language_id.fit(df, F.col("doc_id") % 4 != 2)).toPandas().set_index("doc_id")
+    assert (known.lang_pred[:400] == known.lang[:400]).all() and set(known.lang_pred[400:]) == {"und"} and known.lang_score.between(0, 1).all()
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), F.col("doc_id") % 3 != 1)
+    scored = toxicity.score(df, model).toPandas().set_index("doc_id")
+    assert ((scored.toxicity >= 0.7) == (scored.toxic == 1)).all()
+    odd = spark.createDataFrame([(1, "you m.o.r.o.n here"), (2, "such s c u m m here"), (3, "all is well")], "doc_id long, text string")
+    odd = {r.doc_id: r.toxicity for r in toxicity.score(odd, model).collect()}
+    assert odd[1] > 0.5 and odd[3] < 0.3
+    none = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic").limit(0))
+    assert toxicity.score(df, none).agg(F.max("toxicity")).first()[0] == 0
+    assert language_id.identify(df, language_id.fit(df.limit(0))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_awkward_tables(spark, docs, empty):
+    nulls = spark.createDataFrame([(None, None, None, None, None, None), (None, "a b c", "en", "s", 1, "x"), (1, "a b c", None, None, None, None), (1, "a b c", None, None, None, None)], DDL)
+    for df in (nulls, empty):
+        n = df.count()
+        assert substring_dedup.remove_repeats(df).count() == n and suffix_dedup.remove_repeats(df).count() == n
+        assert sketches.fingerprints(df).count() == n and simhash.simhash_components(df).count() == n
+        assert packing.pack(df, WORDS).count() == n and df.select(bpe.round_trip(BYTES)).count() == n
+        assert substring_dedup.drop_repeats(df).count() == n
+
+
+def test_pipeline_stages_chain(spark, tmp_path):
+    source = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{source}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, source)
+        assert after.columns == docs.columns
+        after.write.parquet(str(tmp_path / f"{_}"))
+        docs = spark.read.parquet(str(tmp_path / f"{_}"))
+    pieces = corpus_pipeline.run(spark, source)
+    assert pieces.select("doc_id").distinct().count() == docs.count()
