@@ -492,11 +492,11 @@ def ocr_overlap(spark, sf_dir):
 
 @_query("""WITH t AS (SELECT p_partkey, p_size / 50 AS h, p_retailprice / 2000 AS c, CASE WHEN p_size > 25 THEN p_size / 60 END AS o, p_size > 40 AS tb FROM part),
   s AS (SELECT *, CASE WHEN tb THEN (.1 * h + .15 * c + .55 * coalesce(o, 0)) / (.25 + CASE WHEN o IS NULL THEN 0 ELSE .55 END) ELSE (.25 * h + .4 * c + .15 * coalesce(o, 0)) / (.65 + CASE WHEN o IS NULL THEN 0 ELSE .15 END) END AS v FROM t)
-  SELECT p_partkey, round(v, 5) AS score, CASE WHEN v >= .99 THEN 'EXACT_DUPLICATE' WHEN v >= .95 THEN 'NEAR_DUPLICATE' WHEN v >= .85 THEN 'HIGH_SIMILARITY' WHEN v >= .75 THEN 'MODERATE_SIMILARITY' ELSE 'LOW_SIMILARITY' END AS match_type FROM s""")
+  SELECT p_partkey, round(v + 1e-9, 5) AS score, CASE WHEN v >= .99 THEN 'EXACT_DUPLICATE' WHEN v >= .95 THEN 'NEAR_DUPLICATE' WHEN v >= .85 THEN 'HIGH_SIMILARITY' WHEN v >= .75 THEN 'MODERATE_SIMILARITY' ELSE 'LOW_SIMILARITY' END AS match_type FROM s""")
 def image_combined(spark, sf_dir):
     p = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 50).alias("h"), (F.col("p_retailprice") / 2000).alias("c"), F.when(F.col("p_size") > 25, F.col("p_size") / 60).alias("o"), (F.col("p_size") > 40).alias("tb"))
     s = p.withColumn("v", images.combined(F.col("h"), F.col("c"), F.col("o"), F.lit(None).cast("double"), F.col("tb")))
-    return s.select("p_partkey", F.round("v", 5).alias("score"), images.match_type(F.col("v")).alias("match_type"))
+    return s.select("p_partkey", F.round(F.col("v") + 1e-9, 5).alias("score"), images.match_type(F.col("v")).alias("match_type"))
 
 
 def queries() -> dict[str, Query]:
