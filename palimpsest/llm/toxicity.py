@@ -5,7 +5,9 @@ spelling keeps most of a word's similarity. Landmarks are short spans of labelle
 linear in the Nystroem map of a span's kernel values with them. As every landmark has an explicit (sparse)
 subsequence vector, the trained machine folds to one weight per three-letter subsequence: a span's margin is a
 sum over its own subsequences divided by its own norm, with no landmark loop when whole corpora are scored.
-A text's margin is the highest of its spans (multiple instances: one toxic span makes a text toxic).
+Labels are of texts, so training goes in rounds: spans that toxic texts hold and clean ones hardly do give a first
+machine, whose two highest spans of every labelled text, under the text's label, train the next, twice. A text's score
+comes from its two highest margins and its number of different words, as long texts hold odd words by chance.
 """
 
 from __future__ import annotations
@@ -23,27 +25,28 @@ from pyspark.sql import functions as F
 
 from .shared import claim, tidy
 
-SYMBOLS = 31  # 0: a gap; 1-26: a-z; 27-30: other letters
+SYMBOLS = 31  # 0: a gap; 1-26: a-z; 27: a word begins; 28-30: other letters
+_BEGIN = b"\x1b"
 _DECAY = 0.7
 _WINDOW, _STRIDE = 12, 3
 #: Characters often written for a letter.
 _FOLDS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _SPACED = re.compile(r"(?:\s\S){4,}(?!\S)")
-_FLOOR = -2.0
+_LOWEST, _HIGHEST = -1.0, 1.5  # margins count up to here, so that one odd span decides nothing alone
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     weights: np.ndarray | None  # per subsequence; None: nothing was learnt
     bias: float
-    slope: float
-    offset: float
+    slopes: tuple[float, float, float] = (0.0, 0.0, 0.0)  # of both margins and the logarithm of the different words
+    offset: float = 0.0
 
 
 class _Symbols(dict):
     def __missing__(self, code: int) -> str:
         c = _FOLDS.get(chr(code), chr(code))
-        s = ord(c) - 96 if "a" <= c <= "z" else 27 + code % 4 if c.isalpha() else 0
+        s = ord(c) - 96 if "a" <= c <= "z" else 28 + code % 3 if c.isalpha() else 0
         self[code] = chr(s)
         return self[code]
 
@@ -52,9 +55,9 @@ _symbols = _Symbols()
 
 
 def _spans(word: str) -> list[bytes]:
-    """A word's symbols; a long word as overlapping windows."""
-    s = word.translate(_symbols).encode("latin-1").strip(b"\0")
-    if len(s) <= _WINDOW:
+    """A word's symbols after the mark of its beginning; a long word as overlapping windows."""
+    s = _BEGIN + word.translate(_symbols).encode("latin-1").strip(b"\0")
+    if len(s) <= _WINDOW + 1:
         return [s]
     return [s[k : k + _WINDOW] for k in range(0, len(s) - _WINDOW + _STRIDE, _STRIDE)]
 
@@ -132,75 +135,125 @@ def _kernel(spans: list[bytes], z: np.ndarray) -> np.ndarray:
     return np.concatenate([subsequence_vectors(spans[k : k + 128]) @ z.T for k in range(0, len(spans), 128)])
 
 
-def _train(positive: list[str], negative: list[str], landmarks: int) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear machine in the Nystroem space, folded to a weight per subsequence."""
+@dataclass(frozen=True)
+class _Landmarks:
+    """Landmark vectors, and the root that makes kernel values with them the Nystroem features."""
+
+    z: np.ndarray
+    root: np.ndarray
+
+    def features(self, spans: list[bytes]) -> np.ndarray:
+        return _kernel(spans, self.z) @ self.root
+
+    def folded(self, w: np.ndarray) -> np.ndarray:
+        """The weight of each subsequence in a machine that is linear in the features."""
+        out = self.z.T @ (self.root @ w)
+        out[0] = 0
+        return out
+
+
+def _variants(words: list[str]) -> list[bytes]:
+    """Spans of words, padded at one place and everywhere."""
     marks = "._*x-"
-    padded = [w[:k] + marks[(k + j) % 5] + w[k:] for j, w in enumerate(positive) for k in range(1, len(w), 2)]
-    spaced = ["".join(c + marks[j % 3] for c in w) for j, w in enumerate(positive)]
-    pos = [s for w in positive + padded + spaced for s in _spans(w)[:1]]
-    neg = [s for w in negative for s in _spans(w)]
-    pv = subsequence_vectors([_spans(w)[0] for w in positive])
-    hard = np.argsort(-_kernel(neg, pv).max(1), kind="stable")[: max(0, landmarks - len(pv)) // 2]
-    easy = np.linspace(0, len(neg) - 1, min(len(neg), max(1, landmarks - len(pv) - len(hard)))).astype(int)
-    z = np.concatenate((pv, subsequence_vectors([neg[k] for k in np.unique(np.concatenate((hard, easy)))])))
+    padded = [w[:k] + marks[(k + j) % 5] + w[k:] for j, w in enumerate(words) for k in range(1, len(w), 2)]
+    spaced = ["".join(c + marks[j % 3] for c in w) for j, w in enumerate(words)]
+    return [_spans(w)[0] for w in words + padded + spaced]
+
+
+def _landmarks(positive: list[str], negative: list[bytes], landmarks: int) -> _Landmarks:
+    """Up to half of the landmarks from positive words, best supported first; the rest half near to them, half spread."""
+    pv = subsequence_vectors([_spans(w)[0] for w in positive[: landmarks // 2]])
+    hard = np.argsort(-_kernel(negative, pv).max(1), kind="stable")[: (landmarks - len(pv)) // 2]
+    easy = np.linspace(0, len(negative) - 1, min(len(negative), max(1, landmarks - len(pv) - len(hard)))).astype(int)
+    z = np.concatenate((pv, subsequence_vectors([negative[k] for k in np.unique(np.concatenate((hard, easy)))])))
     val, vec = np.linalg.eigh(z @ z.T)
     keep = val > 1e-6
-    root = vec[:, keep] / np.sqrt(val[keep])
-    x = _kernel(pos + neg, z) @ root
-    y = np.concatenate((np.ones(len(pos)), -np.ones(len(neg))))
-    cost = np.where(y > 0, len(y) / (2 * len(pos)), len(y) / (2 * len(neg)))
-    w, b = np.zeros(x.shape[1]), 0.0
-    step, mw, mb = 0.4 / (1 + np.linalg.norm(x.T @ (cost[:, None] * x), 2) / len(y)), 0.0, 0.0
-    for _ in range(1500):
-        slack = np.maximum(0, 1 - y * (x @ w + b)) * y * cost
-        gw, gb = 1e-3 * w - x.T @ slack / len(y), -slack.mean()
-        mw, mb = 0.9 * mw + gw, 0.9 * mb + gb
-        w, b = w - step * mw, b - step * mb
-    folded = z.T @ (root @ w)
-    folded[0] = 0
-    return folded, float(b)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of P(label 1 | margin), with a weak pull that keeps them finite."""
-    a, b = 1.0, 0.0
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+    return _Landmarks(z, vec[:, keep] / np.sqrt(val[keep]))
+
+
+def _train(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear machine on features x, labels 1 and -1, and the cost of each row, by Newton steps."""
+    x = np.column_stack((x, np.ones(len(x))))
+    cost = cost / cost.sum()
+    ridge = np.diag([*np.full(x.shape[1] - 1, 1e-5), 1e-9])
+    w = np.zeros(x.shape[1])
+    for _ in range(40):
+        short = (y * (x @ w) < 1) & (cost > 0)
+        own = x[short] * cost[short, None]
+        new = np.linalg.solve(ridge + own.T @ x[short], own.T @ y[short])
+        loss = [float(0.5 * v @ ridge @ v + 0.5 * cost @ np.maximum(0, 1 - y * (x @ v)) ** 2) for v in (w + t * (new - w) for t in (1, 0.5, 0.25, 0.1, 0.02, 0))]
+        t = (1, 0.5, 0.25, 0.1, 0.02, 0)[int(np.argmin(loss))]
+        if not t:  # no step lowers it
+            break
+        w = w + t * (new - w)
+    return w[:-1], float(w[-1])
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes and, last, offset of P(label 1 | columns of x), with a weak pull that keeps them finite."""
+    x = np.column_stack((x, np.ones(len(x))))
+    c = np.zeros(x.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
         v = p * (1 - p) + 1e-9
-        g = np.array([((p - y) * x).sum() + 0.01 * a, (p - y).sum() + 0.01 * b])
-        h = np.array([[(v * x * x).sum() + 0.01, (v * x).sum()], [(v * x).sum(), v.sum() + 0.01]])
-        d = np.linalg.solve(h, g)
-        a, b = a - float(np.clip(d[0], -2, 2)), b - float(np.clip(d[1], -2, 2))
-    return a, b
+        c = c - np.clip(np.linalg.solve(x.T @ (v[:, None] * x) + 0.01 * np.eye(len(c)), x.T @ (p - y) + 0.01 * c), -2, 2)
+    return c
 
 
 _margins: dict[str, float] = {}  # highest span margin of each word under the model of ``_margins_of``
 _margins_of: list = [None]
 
 
-def text_margins(model: ToxicityModel, texts: list[str | None], cache: dict) -> np.ndarray:
+def _learn(model: ToxicityModel, words: list[str], cache: dict) -> None:
+    for at in range(0, len(words), 20_000):
+        part = words[at : at + 20_000]
+        spans = [_spans(w[:400]) if len(w) <= 400 else [x for k in range(0, len(w), 397) for x in _spans(w[k : k + 400])] for w in part]
+        m = span_margins(model.weights, model.bias, [s for own in spans for s in own])
+        starts = np.cumsum([0, *map(len, spans)][:-1])
+        cache.update(zip(part, np.maximum.reduceat(m, starts).tolist(), strict=True))
+
+
+def text_features(model: ToxicityModel, texts: list[str | None], cache: dict) -> np.ndarray:
+    """The two highest margins over a text's different words, and the logarithm of the number of those."""
     if len(texts) > 200:  # a block may hold ten thousand texts
-        return np.concatenate([text_margins(model, texts[k : k + 200], cache) for k in range(0, len(texts), 200)])
+        return np.concatenate([text_features(model, texts[k : k + 200], cache) for k in range(0, len(texts), 200)])
     sets = [set(words_of(t)) for t in texts]
     if len(cache) > 250_000:
         cache.clear()
-    missing = list({w for s in sets for w in s if w not in cache})
-    for at in range(0, len(missing), 20_000):
-        words = missing[at : at + 20_000]
-        spans = [_spans(w[:400]) if len(w) <= 400 else [x for k in range(0, len(w), 397) for x in _spans(w[k : k + 400])] for w in words]
-        flat = [s for own in spans for s in own]
-        m = span_margins(model.weights, model.bias, flat)
-        starts = np.cumsum([0, *map(len, spans)][:-1])
-        cache.update(zip(words, np.maximum.reduceat(m, starts).tolist(), strict=True))
-    return np.array([max(map(cache.__getitem__, s), default=_FLOOR) for s in sets])
+    _learn(model, list({w for s in sets for w in s if w not in cache}), cache)
+    out = np.full((len(texts), 3), _LOWEST)
+    for row, s in zip(out, sets, strict=True):
+        row[2] = np.log1p(len(s))
+        m = np.fromiter(map(cache.__getitem__, s), float, len(s))
+        if len(m) > 1:
+            row[0], row[1] = m.max(), np.partition(m, -2)[-2]
+        elif len(m):
+            row[0] = m[0]
+    out[:, :2] = np.clip(out[:, :2], _LOWEST, _HIGHEST)
+    return out
+
 
+def probabilities(model: ToxicityModel, features: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(features @ np.array(model.slopes) + model.offset, -30, 30)))
 
-def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, max_rows: int = 16_000, landmarks: int = 160, text: str = "text", key: str = "doc_id", target: str = "toxic") -> ToxicityModel:
+
+def _highest_spans(model: ToxicityModel, text: str | None, cache: dict) -> list[bytes]:
+    """The best span of each of a text's two best words."""
+    words = set(words_of(text))
+    _learn(model, [w for w in words if w not in cache], cache)
+    best = []
+    for w in sorted(words, key=lambda w: (-cache[w], w))[:2]:
+        spans = [x for k in range(0, len(w), 397) for x in _spans(w[k : k + 400])]
+        best.append(spans[int(span_margins(model.weights, model.bias, spans).argmax())])
+    return best
+
+
+def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, max_rows: int = 16_000, landmarks: int = 240, max_words: int = 400, text: str = "text", key: str = "doc_id", target: str = "toxic") -> ToxicityModel:
     """Learn from at most about ``max_rows`` labelled rows (the documented bound: those of lowest hashed key).
 
     Rows of ``labels`` with a null key or label, or for which ``eligible`` isn't true, are never used. A span
-    is a positive example if at least three toxic sample texts and hardly a clean one hold it, more than chance allows. Without any such
-    span nothing is learnt and every score is 0.
+    is a positive example of the first round if at least three toxic sample texts and hardly a clean one hold it, more than chance allows
+    (the ``max_words`` best supported ones). Without any such span nothing is learnt and every score is 0.
     """
     spark = docs.sparkSession
     own = labels.where(F.col(target).isNotNull() & F.col(key).isNotNull() & (eligible if eligible is not None else F.lit(True))).select(F.col(key).alias("k"), (F.col(target) > 0).alias("y")).distinct()
@@ -217,41 +270,68 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, max_
     counted = rows.mapInPandas(words, "w string, y boolean").groupBy("w").agg(F.count_if("y").alias("n1"), F.count_if(~F.col("y")).alias("n0")).where("n1 + n0 >= 3").persist()
     rate = sample.agg(F.avg(F.col("y").cast("double"))).first()[0] or 0.0
     held = counted.count()
-    ranked = [(r["w"], r["n1"], r["n0"]) for r in counted.where("n1 >= 3 and n0 <= 0.1 * n1").orderBy(F.desc("n1"), "w").limit(64).collect()]
+    ranked = [(r["w"], r["n1"], r["n0"]) for r in counted.where("n1 >= 3 and n0 <= 0.1 * n1").orderBy(F.desc("n1"), "w").limit(max_words).collect()]
     toxic = _beyond_chance(ranked, rate, held)
     clean = [r["w"] for r in counted.where("n0 >= 3 and n1 <= 0.4 * n0").orderBy(F.xxhash64("w"), "w").limit(2500).collect()]
     counted.unpersist()
     if not toxic or not clean:
-        return ToxicityModel(None, 0.0, 1.0, 0.0)
-    weights, bias = _train(toxic, clean, landmarks)
-    raw = ToxicityModel(weights, bias, 1.0, 0.0)
+        return ToxicityModel(None, 0.0)
+    neg = [x for w in clean for x in _spans(w)]
+    pos = _variants(toxic)
+    basis = _landmarks(toxic, neg, landmarks)
+    y = np.concatenate((np.ones(len(pos)), -np.ones(len(neg))))
+    w, b = _train(basis.features(pos + neg), y, np.where(y > 0, 1 / len(pos), 1 / len(neg)))
+    raw = ToxicityModel(basis.folded(w), b)
+    # Texts of label 1 and 0 that hold a toxic word, or had a span on top.
+    own = {_spans(w)[0]: np.array((n1, n0)) for w, n1, n0 in reversed(ranked) if w in set(toxic)}
+    for _ in range(2):
+        before = spark.sparkContext.broadcast(raw)
+
+        def highest(blocks: Iterator[pd.DataFrame], before=before) -> Iterator[pd.DataFrame]:
+            cache: dict = {}
+            for block in blocks:
+                out = [(x, bool(y)) for t, y in zip(block.t, block.y, strict=True) for x in _highest_spans(before.value, t, cache)]
+                yield pd.DataFrame(out, columns=["s", "y"])
+
+        # At most two spans of a dozen letters for each of max_rows texts.
+        for s, n1, n0 in rows.mapInPandas(highest, "s binary, y boolean").groupBy("s").agg(F.count_if("y"), F.count_if(~F.col("y"))).collect():
+            own[bytes(s)] = np.maximum(own.get(bytes(s), 0), (n1, n0))
+        spans = sorted(own)
+        x = basis.features(spans + pos + neg)
+        n1, n0 = np.array([own[s] for s in spans], float).T
+        some = 0.3 * n1.sum() / len(pos) * np.ones(len(pos))  # padded spellings, so that none is unlearnt
+        rest = n0.sum() / len(neg) * np.ones(len(neg))
+        y = np.concatenate((np.ones(len(spans)), -np.ones(len(spans)), np.ones(len(pos)), -np.ones(len(neg))))
+        w, b = _train(np.concatenate((x[: len(spans)], x)), y, np.concatenate((n1, n0, some, rest)))
+        raw = ToxicityModel(basis.folded(w), b)
     shared = spark.sparkContext.broadcast(raw)
 
-    def margins(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def features(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
         for block in blocks:
-            yield pd.DataFrame({"m": text_margins(shared.value, list(block.t), cache), "y": block.y.astype(float)})
+            f = text_features(shared.value, list(block.t), cache)
+            yield pd.DataFrame({"a": f[:, 0], "b": f[:, 1], "c": f[:, 2], "y": block.y.astype(float)})
 
-    seen = rows.mapInPandas(margins, "m double, y double").toPandas()  # at most max_rows pairs of numbers
-    m, y = seen.m.to_numpy(), seen.y.to_numpy()
-    shown = (y == 0) | (m > 0)  # a toxic text whose spans weren't learnt says nothing about what a margin means
-    slope, offset = _logistic(m[shown], y[shown]) if (y[shown] > 0).any() else _logistic(m, y)
-    return ToxicityModel(weights, bias, slope, offset)
+    seen = rows.mapInPandas(features, "a double, b double, c double, y double").toPandas().to_numpy()  # at most max_rows rows of numbers
+    x, y = seen[:, :3], seen[:, 3]
+    shown = (y == 0) | (x[:, 0] > -0.5)  # a toxic text whose spans weren't learnt says nothing about what a margin means
+    *slopes, offset = map(float, _logistic(x[shown], y[shown]))
+    return ToxicityModel(raw.weights, raw.bias, tuple(slopes), offset)
 
 
 def _beyond_chance(ranked: list[tuple[str, int, int]], rate: float, candidates: int) -> list[str]:
-    """Spans that, at the rate of toxic texts, fewer than one in twenty samples would show by chance.
+    """Spans that, at the rate of toxic texts, fewer than one is expected to show by chance.
 
     In samples too small for that, the best supported spans.
     """
-    sure = [w for w, n1, n0 in ranked if candidates * comb(n1 + n0, n0) * rate**n1 < 0.05]
+    sure = [w for w, n1, n0 in ranked if candidates * comb(n1 + n0, n0) * rate**n1 < 1]
     return sure or [w for w, n1, _ in ranked if n1 == ranked[0][1]]
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", score_as: str = "toxicity") -> DataFrame:
     """Append the toxicity (0 to 1, higher is likelier toxic) of every whole text; no other column is read.
 
-    Null and empty texts get the score of the lowest margin. A column of that name is replaced.
+    Null and empty texts get the score of the lowest margins. A column of that name is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -266,8 +346,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", score_as: s
             if m.weights is None:
                 yield pd.Series(np.zeros(len(block)))
             else:
-                x = text_margins(m, list(block), cache)
-                yield pd.Series(1 / (1 + np.exp(-np.clip(m.slope * x + m.offset, -30, 30))))
+                yield pd.Series(probabilities(m, text_features(m, list(block), cache)))
         tidy()
 
     return docs.withColumn(score_as, of.asNondeterministic()(F.col(text)))
