@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import aitext, images
 from palimpsest.functions import constants as K
+from palimpsest.functions import papers as P
 from palimpsest.functions import text as T
 from palimpsest.operators import lexical as L
 from palimpsest.operators import segments, vectors
@@ -439,6 +440,36 @@ def section_filter(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", segments.section_filter("text").alias("f")).select("doc_id", F.length("f.text").alias("n_chars"), "f.removed", "f.removed_percentage")
 
 
+_CAPTIONED = "'see Table ' || p_partkey || ': ' || p_name || chr(10) || 'and TABLE 7.  ' || p_type"
+
+
+@_query(rf"""WITH t AS (SELECT p_partkey, unnest(regexp_extract_all({_CAPTIONED}, '(?:Table|TABLE)\s*\d+[.:]?\s*[^\n]+')) AS m FROM part)
+  SELECT p_partkey, CAST(regexp_extract(m, '(\d+)', 1) AS INT) AS number, trim(regexp_replace(m, '^(?:Table|TABLE)\s*\d+[.:]?\s*', '')) AS caption FROM t""")
+def table_captions(spark, sf_dir):
+    t = _table(spark, sf_dir, "part").select("p_partkey", F.expr(_CAPTIONED).alias("t"))
+    return t.select("p_partkey", F.inline(P.table_captions("t")))
+
+
+_FORMULAE = "p_name || ' $$ A_' || p_size || ' + b $$ and $x = ' || p_partkey || '$ ' || p_brand"
+
+
+@_query(r"SELECT p_partkey, 'A_' || p_size || ' + b' AS display, 'a_' || p_size || '+b' AS display_normalised, 'x = ' || p_partkey AS inline FROM part")
+def formula_parts(spark, sf_dir):
+    t = _table(spark, sf_dir, "part").select("p_partkey", F.expr(_FORMULAE).alias("t"))
+    d, i = P.formulas("t"), P.formulas("t", display=False)
+    return t.select("p_partkey", d[0]["raw"].alias("display"), d[0]["normalised"].alias("display_normalised"), i[0]["raw"].alias("inline"))
+
+
+@_query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(30) || '|' || chr(31), '', 'g') AS t FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?i)(^|\n)\s*(abstract|introduction|background|methods?|materials?\s+and\s+methods?|results?|discussion|conclusions?|references?|\d+\.?\s+\w+)[^\S\n]*(\n|$)'))
+  SELECT doc_id, 'Results' AS section, md5(t) AS text_md5 FROM t UNION ALL SELECT doc_id, 'Discussion', md5('') FROM t""")
+def section_parse(spark, sf_dir):
+    """Texts without headings of their own, under one heading and before another."""
+    own = rf"(?i)(^|\n)\s*({'|'.join(P.HEADINGS)})[^\S\n]*(\n|$)"
+    d = _table(spark, sf_dir, "documents").select("doc_id", "text").where(~F.col("text").rlike(own))
+    parsed = d.select("doc_id", F.inline(P.sections(F.concat(F.lit("Results\n"), "text", F.lit("\nDiscussion\n")))))
+    return parsed.select("doc_id", "section", F.md5("text").alias("text_md5"))
+
+
 # --- vectors, stylometry, images -----------------------------------------------------------------------------
 
 _COS = "q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT query_id, vec_id, list_cosine_similarity(qe, CAST(embedding AS DOUBLE[])) AS s, label FROM q, embeddings)"

@@ -107,3 +107,19 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     got = sorted(incremental.current(spark, str(tmp_path / "t"), 2).collect())
     assert got == sorted(incremental.latest_by_key(df, "k", "seq").collect())
+
+
+def test_parts_of_papers(spark):
+    from pyspark.sql import functions as F
+
+    from palimpsest.functions import papers as P
+
+    paper = "A title\nAbstract\n\nWe ask.\nMETHODS \nResults\nIt holds, see Table 2. Rates by age\n2. Models\nMore $$ E =\n m C $$ and $a b$.\nFunding: this was paid for by a fund of some kind. References\n1. X"
+    df = spark.createDataFrame([(1, paper), (2, ""), (3, None)], "id int, t string")
+    got = {r.id: r for r in df.select("id", P.sections("t").alias("s"), P.statement("t", "funding").alias("f"), P.statement("t", "conflicts").alias("c"), P.table_captions("t").alias("tc"), P.formulas("t").alias("d"), P.formulas("t", display=False).alias("i")).collect()}
+    assert [(s.section, s.text[:8]) for s in got[1].s] == [("Abstract", "We ask."), ("METHODS", ""), ("Results", "It holds"), ("2. Models", "More $$ ")]
+    assert got[1].f == "this was paid for by a fund of some kind." and got[1].c is None
+    assert [tuple(c) for c in got[1].tc] == [(2, "Rates by age")] and [tuple(d) for d in got[1].d] == [("E =\n m C", "e=mc")] and got[1].i[0].raw == "a b"
+    assert got[2].s == [] and got[3].s == [] and got[2].f is None and got[3].f is None
+    cells = spark.sql("SELECT array(array('a  b', null), array('1', ' 2 ')) AS r, array(array('x')) AS one")
+    assert tuple(cells.select(P.table_text(F.col("r")), P.table_text(F.col("one"))).first()) == ("a b | \n1 | 2", None)
