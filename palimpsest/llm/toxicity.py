@@ -31,6 +31,7 @@ _DECAY = 0.7
 _WINDOW, _STRIDE = 12, 3
 #: Characters often written for a letter.
 _FOLDS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+_AROUND = ".,;:!?\"'()*&%#|"
 _SPACED = re.compile(r"(?:\s\S){4,}(?!\S)")
 _LOWEST, _HIGHEST = -1.0, 1.5  # margins count up to here, so that one odd span decides nothing alone
 
@@ -69,6 +70,11 @@ def words_of(text: str | None) -> list[str]:
     return out + ["".join(m.group().split()) for m in _SPACED.finditer(" " + low)]
 
 
+def _different(text: str | None) -> set[str]:
+    """A text's different words without the marks around them, which are gaps to the kernel."""
+    return {w.strip(_AROUND) for w in set(words_of(text))} - {""}
+
+
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.array(list(combinations(range(n), 3)), np.int64).reshape(-1, 3)
     return at, _DECAY ** (at[:, 2] - at[:, 0] + 1.0)
@@ -217,7 +223,7 @@ def text_features(model: ToxicityModel, texts: list[str | None], cache: dict) ->
     """The two highest margins over a text's different words, and the logarithm of the number of those."""
     if len(texts) > 200:  # a block may hold ten thousand texts
         return np.concatenate([text_features(model, texts[k : k + 200], cache) for k in range(0, len(texts), 200)])
-    sets = [set(words_of(t)) for t in texts]
+    sets = [_different(t) for t in texts]
     if len(cache) > 250_000:
         cache.clear()
     _learn(model, list({w for s in sets for w in s if w not in cache}), cache)
@@ -239,7 +245,7 @@ def probabilities(model: ToxicityModel, features: np.ndarray) -> np.ndarray:
 
 def _highest_spans(model: ToxicityModel, text: str | None, cache: dict) -> list[bytes]:
     """The best span of each of a text's two best words."""
-    words = set(words_of(text))
+    words = _different(text)
     _learn(model, [w for w in words if w not in cache], cache)
     best = []
     for w in sorted(words, key=lambda w: (-cache[w], w))[:2]:
@@ -264,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, max_
 
     def words(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in (b[k : k + 200] for b in blocks for k in range(0, len(b), 200)):
-            out = [(w, bool(y)) for t, y in zip(block.t, block.y, strict=True) for w in {w.strip(".,;:!?\"'()") for w in words_of(t)} if 3 <= len(w) <= 24]
+            out = [(w, bool(y)) for t, y in zip(block.t, block.y, strict=True) for w in _different(t) if 3 <= len(w) <= 24]
             yield pd.DataFrame(out, columns=["w", "y"])
 
     counted = rows.mapInPandas(words, "w string, y boolean").groupBy("w").agg(F.count_if("y").alias("n1"), F.count_if(~F.col("y")).alias("n0")).where("n1 + n0 >= 3").persist()

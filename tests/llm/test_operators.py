@@ -219,6 +219,28 @@ def test_language_and_toxicity(spark):
     assert language_id.identify(df, language_id.fit(df.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_words_that_clean_texts_hold_too_leave_clear_insults_clear(spark):
+    rng = random.Random(8)
+    syllables = ["on", "ta", "re", "li", "mo", "de", "ka", "su"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(2, 4)))
+    rows = []
+    for i in range(900):
+        toxic, clear = i % 6 == 0, i % 12 == 0
+        words = [word() for _ in range(30)]
+        if toxic:
+            words += ["moron"] if clear else ["zebrix" + rng.choice(syllables) for _ in range(3)]
+        elif i % 5 == 0:
+            words.append("zebrix" + rng.choice(syllables))
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), F.col("doc_id") % 5 != 1)
+    seen = toxicity.score(df, model).where("doc_id % 5 = 1").toPandas()
+    clear = seen[seen.doc_id % 12 == 0]
+    assert len(clear) > 5 and (clear.toxicity >= 0.7).all()
+    assert (seen[seen.toxic == 0].toxicity >= 0.7).mean() < 0.02
+
+
 def test_awkward_tables(spark, docs, empty):
     nulls = spark.createDataFrame([(None, None, None, None, None, None), (None, "a b c", "en", "s", 1, "x"), (1, "a b c", None, None, None, None), (1, "a b c", None, None, None, None)], DDL)
     for df in (nulls, empty):
