@@ -11,6 +11,8 @@ from palimpsest.llm.shared import cut
 
 MIN_LANGUAGE_SCORE = 0.5
 TOXIC_FROM = 0.7
+NEAR_SHINGLE = 5
+NEAR_FROM = 0.8
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,8 @@ def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by SimHash."""
-    return simhash.keep_one(docs)
+    """One document, that of the smallest id, of each group linked by SimHash or shared shingles, both verified."""
+    return simhash.keep_one_similar(docs, shingle=NEAR_SHINGLE, similarity=NEAR_FROM)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ a bounded number of different fingerprints, however large a group of near copies
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,29 +26,38 @@ from .shared import cut, tidy
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of a whole text: majority of each bit over the XXH64 of its word shingles, repeats included.
-
-    Words are runs of bytes other than ASCII white space, A-Z lower-cased. Fewer words than a shingle: the
-    whole sequence is the one shingle. No word (null, empty, white space): 0. A tie of a bit gives 0.
-    """
+def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of every word shingle of a whole text in order, repeats included; see :func:`simhash`."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - shingle + 1)
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
     ends = (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends, strict=True)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends, strict=True)), np.uint64, n)
+
+
+def _print_of(h: np.ndarray) -> int:
+    """Majority of each bit; a tie gives 0."""
+    n, ones = len(h), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         bits = np.unpackbits(h[at : at + (1 << 16)].byteswap().view(np.uint8).reshape(-1, 8), axis=1)
         ones += bits.sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
+def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of a whole text: majority of each bit over the XXH64 of its word shingles, repeats included.
+
+    Words are runs of bytes other than ASCII white space, A-Z lower-cased. Fewer words than a shingle: the
+    whole sequence is the one shingle. No word (null, empty, white space): 0. A tie of a bit gives 0.
+    """
+    return _print_of(shingle_hashes(text, shingle, seed))
+
+
 def fingerprint_column(text: str = "text", shingle: int = 3):
     """Column of the SimHash as a signed long; see :func:`simhash` for null and short texts."""
 
@@ -67,10 +77,6 @@ def covering_masks(bits: list[int], radius: int) -> list[int]:
     return [sum(1 << b for b in bits if (a[b] & v).bit_count() & 1) for v in range(1, 1 << width)]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
 def _scattered() -> list[int]:
     """The 64 bit positions in a fixed mixed order, so that masks don't follow neighbouring bits."""
     return [i * 37 % 64 for i in range(64)]
@@ -93,7 +99,7 @@ def near_pairs(prints: DataFrame, radius: int = 2, small: int = 48, levels: int
         for way, (fixed, free) in masks.items():
             for v, m in enumerate(covering_masks(free, radius)):
                 nexts[f"{way}{v}"] = (fixed | m, [b for b in free if not m >> b & 1])
-                table.append((way, f"{way}{v}", _signed(fixed | m)))
+                table.append((way, f"{way}{v}", _to_long(fixed | m)))
         # 7, 49, 343, 2401 constant rows at the default radius; grouped by way so that one map lookup expands a row.
         by_way: dict[str, list] = {}
         for way, child, m in table:
@@ -149,3 +155,105 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: i
     reps = groups.where(F.col(key) == F.col("component")).select(F.col(key).alias("__rep")).distinct()
     kept = docs.join(reps, docs[key] == reps["__rep"], "left_semi")
     return kept.unionByName(docs.where(F.col(key).isNull()))
+
+
+def _frequent(docs: DataFrame, text: str, key: str, shingle: int, sample: int = 4000, least: int = 4, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in ascending order, their ranks by frequency) of shingles that several texts of a sample hold.
+
+    They only set an order of shingles: any order gives the same pairs, this one smaller buckets.
+    """
+    @F.pandas_udf("array<long>")
+    def of(block: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(x, shingle)).view(np.int64) for x in block])
+
+    share = max(1, docs.count() // sample)
+    some = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0)
+    counted = some.select(F.explode(of.asNondeterministic()(F.col(text))).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    rows = counted.orderBy(F.desc("n"), "h").limit(most).collect()
+    h = np.fromiter((r.h for r in rows), np.int64, len(rows)).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], len(rows) - order
+
+
+def _parts(text: str, shingle: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]):
+    """Column of a text's print, its set of shingles as one hash, that set's size, and its prefix.
+
+    Two sets at Jaccard ``similarity`` or more share a shingle of their prefixes, the first ``n - ceil(similarity * n)
+    + 1`` in one order of all shingles: by hash, with the frequent ones last.
+    """
+    known, ranks = frequent
+
+    def one(x: str | None) -> tuple[int, int, int, np.ndarray]:
+        h = shingle_hashes(x, shingle)
+        u = np.unique(h)
+        n = len(u)
+        length = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+        prefix = u
+        if len(known) and n:
+            at = np.minimum(np.searchsorted(known, u), len(known) - 1)
+            often = known[at] == u
+            prefix = np.concatenate((u[~often], u[often][np.argsort(ranks[at[often]], kind="stable")]))
+        whole = xxhash.xxh64_intdigest(u.tobytes(), 7)
+        return _to_long(_print_of(h) if n else 0), _to_long(whole), n, prefix[:length].view(np.int64)
+
+    @F.pandas_udf("fp long, node long, n int, prefix array<long>")
+    def of(blocks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for block in blocks:
+            yield pd.DataFrame([one(x) for x in block], columns=["fp", "node", "n", "prefix"])
+        tidy()
+
+    return of.asNondeterministic()(F.col(text))
+
+
+def _to_long(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def _resemble(a, b, shingle: int, similarity: float):
+    """Whether the sets of shingles of two texts have a Jaccard similarity of at least ``similarity``."""
+    @F.pandas_udf("boolean")
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        last, out = (None, None), []
+        for s, t in zip(x, y, strict=True):
+            u = last[1] if s == last[0] else np.unique(shingle_hashes(s, shingle))
+            v = np.unique(shingle_hashes(t, shingle))
+            last = (s, u)
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            out.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    return of.asNondeterministic()(a, b)
+
+
+def keep_one_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, radius: int = 2, near: int = 64) -> DataFrame:
+    """The rows of ``docs`` whose key is the smallest of its group, linked by Jaccard ``similarity`` of whole texts' shingle sets.
+
+    At such a similarity a SimHash of 64 bits differs in too many bits to be looked up, so candidates are prints within
+    ``radius`` bits and, for the rest, texts that share a shingle of their prefixes, which misses no pair. Every
+    candidate is verified on the whole sets. A shingle that over ``near`` texts have in their prefix pairs each with
+    the next ``near`` by size only, so that a large group of near copies is linked in a chain and not in all pairs.
+    Equal sets are one node. Rows with equal or null keys are treated as in :func:`keep_one`.
+    """
+    named = docs.where(F.col(key).isNotNull())
+    parts = _parts(text, shingle, similarity, _frequent(named, text, key, shingle))
+    marked = cut(named.select(F.col(key).alias("__key"), parts.alias("p")).select("__key", "p.*"), "similar")
+    nodes = cut(marked.groupBy("node").agg(F.min("__key").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n")), "similar-nodes")
+    reps = nodes.select("node", F.col("least").alias("__key"))
+    keyed = marked.join(reps, ["node", "__key"], "left_semi").dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("shingle"))
+    lists = keyed.groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("f")).where("size(f) > 1")
+    by_prefix = lists.select(F.explode(F.expr(f"flatten(transform(f, (x, i) -> transform(filter(slice(f, i + 2, {near}), y -> x.n >= {similarity} * y.n - 1e-9), y -> struct(least(x.node, y.node) as a, greatest(x.node, y.node) as b))))")).alias("p")).select("p.a", "p.b")
+    of_print = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    prints = near_pairs(of_print.select("fp"), radius)
+    left, right = (of_print.select(F.col("fp").alias(c), F.col("first").alias(f"n{c}")) for c in "ab")
+    by_print = prints.join(left, "a").join(right, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    pairs = cut(by_prefix.unionByName(by_print).distinct(), "similar-pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    found = named.select(F.col(key).alias("__key"), F.col(text).alias("t")).join(reps.join(wanted, "node", "left_semi"), "__key")
+    same = _parts("t", shingle, similarity, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))  # of rows with one key, the node's
+    texts = cut(found.select("node", "t", same["node"].alias("own")).where("own = node").dropDuplicates(["node"]).select("node", "t"), "similar-texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+    linked = connected_components(both.where(_resemble(F.col("ta"), F.col("tb"), shingle, similarity)).select("a", "b"))
+    groups = nodes.select("node", "least").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = groups.groupBy("component").agg(F.min("least").alias("__rep")).select("__rep").distinct()
+    kept = docs.join(smallest, docs[key] == smallest["__rep"], "left_semi")
+    return kept.unionByName(docs.where(F.col(key).isNull()))

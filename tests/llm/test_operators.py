@@ -261,3 +261,28 @@ def test_pipeline_stages_chain(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / f"{_}"))
     pieces = corpus_pipeline.run(spark, source)
     assert pieces.select("doc_id").distinct().count() == docs.count()
+
+
+def test_near_duplicate_stage_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = [[f"w{rng.randrange(3000)}" for _ in range(rng.choice((60, 239, 500)))] for _ in range(40)]
+    line = [f"c{i}" for i in range(30)]  # a line that many texts share links none of them
+    rows = [r + line if i % 2 else r for i, r in enumerate(rows)]
+    for i in range(40):
+        for edits in (1, 2, 4, 8):
+            r = list(rows[i])
+            for k in rng.sample(range(len(r)), edits):
+                r[k] = f"new{rng.randrange(9999)}"
+            rows.append(r)
+    rows += [rows[0][:k] + ["extra"] + rows[0][k:] for k in range(0, 60, 1)] + [["a", "b"], ["a", "b"], ["A", "b"], []]
+    sets = [{tuple(w.lower() for w in r[i : i + 5]) for i in range(max(1, len(r) - 4))} if r else set() for r in rows]
+    group = list(range(len(rows)))
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] == sets[b] or (sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    for _ in rows:
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    want = {i for i in range(len(rows)) if group[i] == i}
+    df = spark.createDataFrame([(i, " ".join(r), "en", "s", 0, "") for i, r in enumerate(rows)], DDL)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert got == want and len(links) > 300
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} != want
