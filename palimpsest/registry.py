@@ -470,6 +470,13 @@ def section_parse(spark, sf_dir):
     return parsed.select("doc_id", "section", F.md5("text").alias("text_md5"))
 
 
+@_query()
+def section_parse_whole(spark, sf_dir):
+    """Sections of every text as it is; section_parse keeps the part that its twin can express."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(P.sections("text")).alias("pos", "s"))
+    return d.select("doc_id", "pos", "s.section", F.md5("s.text").alias("text_md5"))
+
+
 # --- vectors, stylometry, images -----------------------------------------------------------------------------
 
 _COS = "q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT query_id, vec_id, list_cosine_similarity(qe, CAST(embedding AS DOUBLE[])) AS s, label FROM q, embeddings)"

@@ -123,3 +123,25 @@ def test_parts_of_papers(spark):
     assert got[2].s == [] and got[3].s == [] and got[2].f is None and got[3].f is None
     cells = spark.sql("SELECT array(array('a  b', null), array('1', ' 2 ')) AS r, array(array('x')) AS one")
     assert tuple(cells.select(P.table_text(F.col("r")), P.table_text(F.col("one"))).first()) == ("a b | \n1 | 2", None)
+
+
+def reference_sections(text):
+    """The reference's rule: every heading pattern's matches, by position, each up to the next."""
+    import re
+
+    names = ["Abstract", "Introduction", "Background", r"Methods?|Materials?\s+and\s+Methods?", "Results?", "Discussion", "Conclusions?", "References?", r"\d+\.?\s+\w+"]
+    at = sorted((m.start(), m.group(1).strip()) for n in names for m in re.finditer(rf"(?:^|\n)\s*({n})\s*\n", text, re.I))
+    ends = [a for a, _ in at[1:]] + [len(text)]
+    return [(n, re.sub(rf"^{re.escape(n)}\s*", "", text[a:e].strip(), flags=re.I).strip()) for (a, n), e in zip(at, ends)]
+
+
+def test_whole_texts_are_parsed_by_the_reference_rule(spark, tmp_path):
+    from palimpsest import registry
+
+    texts = ["Title\nAbstract\nWe ask.\n\nMethods \n\nWe did\nthis.\n Results\nNo results here.\nReferences\n1. Smith", "no heading at all", "Introduction\nA.\n2 Models\nB.\nMaterials and Methods\nC.\nconclusion\nD."]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    import hashlib
+
+    got = sorted(tuple(r) for r in registry.queries()["section_parse_whole"](spark, str(tmp_path)).collect())
+    want = sorted((i, k, n, hashlib.md5(t.encode()).hexdigest()) for i, x in enumerate(texts) for k, (n, t) in enumerate(reference_sections(x)))
+    assert got == want and len(got) == 8
