@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 
+from . import segments
+
 
 def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b)).cast("double")
@@ -147,6 +149,13 @@ def pair_metrics(pairs: DataFrame, query: str = "query_text", source: str = "sou
     return t.drop(*[c for c in t.columns if c.startswith("__")])
 
 
+def reference_metrics(pairs: DataFrame, query: str = "query_text", source: str = "source_text") -> DataFrame:
+    """As :func:`pair_metrics`, with the reference's character similarities: difflib for the base, by length for the enhanced."""
+    t = pair_metrics(pairs, query, source).drop("char_similarity", "combined", "lexical")
+    t = t.withColumn("base_char_similarity", segments.base_similarity(F.col(query), F.col(source))).withColumn("char_similarity", segments.char_similarity(F.col(query), F.col(source)))
+    return t.withColumn("combined", combined_base(F.col("containment_5"), F.col("word_overlap"), F.col("base_char_similarity"), F.col("jaccard"))).withColumn("lexical", combined_enhanced(F.col("best_containment"), F.col("word_overlap"), F.col("char_similarity"), F.col("jaccard")))
+
+
 def document_risk(matches: DataFrame, key: str) -> DataFrame:
     """Text score and risk per document from ``matches(key, overlap, match_type)``."""
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("overlap"), "match_type"))

@@ -30,6 +30,19 @@ def char_similarity(query: Column, source: Column) -> Column:
     return of(query, source)
 
 
+def base_ratio(query: str | None, source: str | None) -> float:
+    """difflib ratio of two lower-cased texts of any length."""
+    return SequenceMatcher(None, (query or "").lower(), (source or "").lower()).ratio()
+
+
+def base_similarity(query: Column, source: Column) -> Column:
+    @F.pandas_udf("double")
+    def of(q: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([base_ratio(a, b) for a, b in zip(q, s, strict=True)], dtype=float)
+
+    return of(query, source)
+
+
 class _Window:
     """Counts of a window's tokens and n-grams that also occur in the query, kept while it slides."""
 

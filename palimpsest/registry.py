@@ -349,10 +349,10 @@ def _pair_sql() -> str:
   w AS (SELECT *, .4 * c5 + .3 * o + .2 * ch + .1 * j AS comb, .35 * greatest(c3, c4, c5, c7) + .35 * o + .2 * ch + .1 * j AS lex FROM v)"""
 
 
-def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _measured(spark: SparkSession, sf_dir: str, measure=L.pair_metrics) -> DataFrame:
     items, docs = (_table(spark, sf_dir, t).select(k, F.col("text").alias(n)) for t, k, n in (("benchmark", "item_id", "query_text"), ("documents", "doc_id", "source_text")))
     pairs = L.shared_shingles(items.withColumnRenamed("query_text", "text"), docs.withColumnRenamed("source_text", "text"), "item_id", "doc_id")
-    return L.pair_metrics(pairs.join(items, "item_id").join(docs, "doc_id"))
+    return measure(pairs.join(items, "item_id").join(docs, "doc_id"))
 
 
 @_query(_pair_sql() + " SELECT item_id, doc_id, round(c3, 6) AS containment_3, round(c5, 6) AS containment_5, round(c7, 6) AS containment_7, round(j, 6) AS jaccard, round(o, 6) AS word_overlap, round(ch, 6) AS char_similarity, round(comb, 6) AS combined, round(lex, 6) AS lexical FROM w")
@@ -367,6 +367,18 @@ def base_classify(spark, sf_dir):
     return _measured(spark, sf_dir).select("item_id", "doc_id", L.classify_base(*[F.col(c) for c in ("containment_5", "word_overlap", "char_similarity", "jaccard")]).alias("match_type"))
 
 
+@_query()
+def pair_metrics_difflib(spark, sf_dir):
+    """As pair_metrics, with difflib where the reference has it, which SQL can't express."""
+    m = _measured(spark, sf_dir, L.reference_metrics)
+    return m.select("item_id", "doc_id", *[F.round(c, 6).alias(c) for c in ("base_char_similarity", "char_similarity", "combined", "lexical")])
+
+
+@_query()
+def base_classify_difflib(spark, sf_dir):
+    return _measured(spark, sf_dir, L.reference_metrics).select("item_id", "doc_id", L.classify_base(*[F.col(c) for c in ("containment_5", "word_overlap", "base_char_similarity", "jaccard")]).alias("match_type"))
+
+
 _GRID = "g AS (SELECT (row_number() OVER (ORDER BY l_orderkey, l_linenumber)) AS id, l_discount * 10 AS sem, l_quantity / 50 AS lex, l_returnflag = 'R' AS cited, l_linestatus = 'F' AS bp, l_tax > 0.05 AS common, CAST(l_linenumber AS INT) AS strong FROM lineitem)"
 
 

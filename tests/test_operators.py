@@ -145,3 +145,17 @@ def test_whole_texts_are_parsed_by_the_reference_rule(spark, tmp_path):
     got = sorted(tuple(r) for r in registry.queries()["section_parse_whole"](spark, str(tmp_path)).collect())
     want = sorted((i, k, n, hashlib.md5(t.encode()).hexdigest()) for i, x in enumerate(texts) for k, (n, t) in enumerate(reference_sections(x)))
     assert got == want and len(got) == 8
+
+
+def test_difflib_metrics_of_swapped_copies(spark, tmp_path):
+    from palimpsest import registry
+
+    halves = [" ".join(f"word{i} of{i}" for i in range(k, k + n)) for k, n in ((0, 30), (100, 30), (0, 120), (300, 120))]
+    pairs = {1: (f"{halves[0]} {halves[1]}", f"{halves[1]} {halves[0]}"), 2: (f"{halves[2]} {halves[3]}", f"{halves[3]} {halves[2]}")}
+    spark.createDataFrame([(k, q) for k, (q, _) in pairs.items()], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(k, s) for k, (_, s) in pairs.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.item_id, r.doc_id): r for r in registry.queries()["pair_metrics_difflib"](spark, str(tmp_path)).collect()}
+    kinds = {(r.item_id, r.doc_id): r.match_type for r in registry.queries()["base_classify_difflib"](spark, str(tmp_path)).collect()}
+    for k, (q, s) in pairs.items():
+        assert got[k, k].base_char_similarity == round(SequenceMatcher(None, q, s).ratio(), 6) < 0.9
+        assert (got[k, k].char_similarity == 1.0) == (max(len(q), len(s)) > 1000) and kinds[k, k] != "EXACT_COPY"
