@@ -138,14 +138,18 @@ def doi_from_filename(name: Column) -> Column:
 
 
 def abstract(text: Column | str) -> Column:
-    """Text after an abstract heading up to the introduction, white space to one space, at most 3000 characters."""
-    found = F.regexp_extract(_col(text), r"(?is)abstract[:\s]*\n(.*?)(?:\n\s*(?:introduction|background|keywords)|$)", 1)
-    return F.nullif(F.substring(F.trim(F.regexp_replace(found, r"\s+", " ")), 1, 3000), F.lit(""))
+    """Text after an abstract or else a summary heading up to the introduction, white space to one space, at most 3000 characters."""
+    def after(head: str) -> Column:
+        return F.nullif(F.trim(F.regexp_replace(F.regexp_extract(_col(text), head, 1), r"\s+", " ")), F.lit(""))
+
+    found = F.coalesce(after(r"(?is)abstract[:\s]*\n(.*?)(?:\n\s*(?:introduction|background|keywords|1\.)|$)"), after(r"(?is)(?:^|\n)\s*summary\s*\n(.*?)(?=\n\s*(?:introduction|keywords|1\.))"))
+    return F.substring(found, 1, 3000)
 
 
 def title_guess(text: Column | str) -> Column:
-    """Longest of the first ten lines with 20 to 300 characters; of equals the greatest."""
-    lines = F.filter(F.transform(F.slice(F.split(_col(text), "\n"), 1, 10), lambda s: F.trim(s)), lambda s: (F.length(s) > 20) & (F.length(s) < 300))
+    """Longest of the first ten lines with 20 to 300 characters and none of the stop words; of equals the greatest."""
+    stop = "abstract|introduction|keywords|doi:|http"
+    lines = F.filter(F.transform(F.slice(F.split(_col(text), "\n"), 1, 10), lambda s: F.trim(s)), lambda s: (F.length(s) > 20) & (F.length(s) < 300) & ~F.lower(s).rlike(stop))
     return F.array_max(F.transform(lines, lambda s: F.struct(F.length(s).alias("n"), s.alias("line"))))["line"]
 
 

@@ -186,18 +186,20 @@ PHRASE_DELETES = [
     r"all rights reserved",
 ]
 HEADER_ENDS = [r"\n\s*abstract\s*(?:\n|$|[:.])", r"\n\s*(?:objective|background|purpose):\s"]
+# Where the front matter ends in a text without an abstract; case counts, the first pattern found holds.
+FALLBACK_ENDS = [r"\n\s*Keywords?:", r"\n\s*Disclosures?:", r"\n\s*Sources? of [Ff]unding:", r"\n\s*INTRODUCTION\s*\n", r"\n\s*Introduction\s*\n"]
 
 _EXCLUDED = [(name, re.compile(rf"\s*(?:{'|'.join(p)})\s*", re.I)) for name, p in EXCLUDED_HEADINGS.items()]
 _CONTENT = re.compile(rf"\s*(?:{'|'.join(CONTENT_HEADINGS)})\s*", re.I)
 _NUMBERED = re.compile(r"\s*\d+\.\s+\w+")
 _DELETES = [re.compile(p, re.I) for p in INLINE_DELETES + PHRASE_DELETES]
-_HEADERS = [re.compile(p, re.I) for p in HEADER_ENDS]
+_HEADERS = [re.compile(p, re.I) for p in HEADER_ENDS] + [re.compile(p) for p in FALLBACK_ENDS]
 
 
 def filter_sections(text: str | None, aggressive: bool = False, numbered_resume: bool = True) -> tuple[str, list[str], float]:
     """(kept text, removed sections, removed percentage).
 
-    Front matter before the abstract goes, then inline deletes, then lines from an excluded heading until a
+    Front matter before the abstract, or without one before a later mark, goes, then inline deletes, then lines from an excluded heading until a
     content heading; with ``numbered_resume`` a numbered line resumes too, which lets numbered references in.
     """
     source = text or ""

@@ -159,3 +159,19 @@ def test_difflib_metrics_of_swapped_copies(spark, tmp_path):
     for k, (q, s) in pairs.items():
         assert got[k, k].base_char_similarity == round(SequenceMatcher(None, q, s).ratio(), 6) < 0.9
         assert (got[k, k].char_similarity == 1.0) == (max(len(q), len(s)) > 1000) and kinds[k, k] != "EXACT_COPY"
+
+
+def test_front_matter_without_an_abstract():
+    text = "Long Title\nA. Author\nINTRODUCTION\nBody one.\nDisclosures: none here.\nBody two."
+    kept, removed, _ = segments.filter_sections(text)
+    assert "Author" not in kept and "Body one" not in kept and "Body two." in kept and removed[0] == "header_block"
+    assert segments.filter_sections("T\nA. Author\nIntroduction\nBody.")[0] == "Introduction\nBody."
+    assert "Author" in segments.filter_sections("T\nA. Author\nintroduction\nBody.")[0]
+    assert segments.filter_sections("T\nA. Author\nkeywords: x\nAbstract\nBody.\nIntroduction\nEnd.")[0].startswith("Abstract")
+
+
+def test_title_stop_words_and_summary(spark):
+    texts = ["DOI: 10.1101/2024.01.15.575123 and a long tail of it\nhttps://example.org/a/very/long/address/of/a/page\nThe real title of the paper\nx", "T\nSummary\nWe  did\nit.\n1. First\nmore", "T\nAbstract\nWe did.\n1. First\nmore"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r for r in df.select("i", T.title_guess("t").alias("title"), T.abstract("t").alias("a")).collect()}
+    assert got[0].title == "The real title of the paper" and got[0].a is None and got[1].a == "We did it." and got[2].a == "We did."
