@@ -213,7 +213,7 @@ _margins_of: list = [None]
 def _learn(model: ToxicityModel, words: list[str], cache: dict) -> None:
     for at in range(0, len(words), 20_000):
         part = words[at : at + 20_000]
-        spans = [_spans(w[:400]) if len(w) <= 400 else [x for k in range(0, len(w), 397) for x in _spans(w[k : k + 400])] for w in part]
+        spans = [_spans(w) for w in part]
         m = span_margins(model.weights, model.bias, [s for own in spans for s in own])
         starts = np.cumsum([0, *map(len, spans)][:-1])
         cache.update(zip(part, np.maximum.reduceat(m, starts).tolist(), strict=True))
@@ -249,7 +249,7 @@ def _highest_spans(model: ToxicityModel, text: str | None, cache: dict) -> list[
     _learn(model, [w for w in words if w not in cache], cache)
     best = []
     for w in sorted(words, key=lambda w: (-cache[w], w))[:2]:
-        spans = [x for k in range(0, len(w), 397) for x in _spans(w[k : k + 400])]
+        spans = _spans(w)
         best.append(spans[int(span_margins(model.weights, model.bias, spans).argmax())])
     return best
 

@@ -286,3 +286,13 @@ def test_near_duplicate_stage_against_brute_force(spark):
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
     assert got == want and len(links) > 300
     assert {r.doc_id for r in simhash.keep_one(df).collect()} != want
+
+
+def test_long_words_are_scored_on_one_grid(monkeypatch):
+    insult = toxicity._spans("idiot")[0][1:]
+    monkeypatch.setattr(toxicity, "span_margins", lambda w, b, spans: np.array([float(insult in s) + 2.0 * (i and s.startswith(toxicity._BEGIN)) for i, s in enumerate(spans)]))
+    for k in range(380, 420):
+        word, cache = "q" * k + "idiot" + "q" * 500, {}
+        toxicity._learn(toxicity.ToxicityModel(None, 0.0), [word], cache)
+        assert cache[word] == 1.0
+        assert insult in toxicity._highest_spans(toxicity.ToxicityModel(None, 0.0), word, {})[0]
