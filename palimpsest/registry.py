@@ -269,6 +269,14 @@ def citation_types(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in _CITED], "text string").select("text", T.citation_type("text").alias("kind"))
 
 
+_CITED_SQL = "coalesce(NOT " + _sql_any("text", ["(?i)" + "|".join(f"(?:{p})" for p in K.CITATIONS)]) + ", true)"
+
+
+@_query(f"SELECT doc_id, CASE WHEN {_CITED_SQL}" + r" THEN NULL WHEN regexp_matches(text, '\[\s*\d+') THEN 'numbered' WHEN regexp_matches(text, '\(\s*\d{4}\s*\)') THEN 'author_year' WHEN regexp_matches(text, '(?i)et\s+al') THEN 'author_reference' ELSE 'contextual' END AS kind FROM documents")
+def citation_types_documents(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.citation_type("text").alias("kind"))
+
+
 def _chunk_sql(size: int, step: int, least: int, short: bool) -> str:
     w = _WORDS.format(t="text")
     whole = f"SELECT doc_id, 0 AS start, CAST(len(w) AS INT) AS n_words FROM t WHERE len(w) <= {size} UNION ALL " if short else ""

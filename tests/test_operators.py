@@ -175,3 +175,13 @@ def test_title_stop_words_and_summary(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r for r in df.select("i", T.title_guess("t").alias("title"), T.abstract("t").alias("a")).collect()}
     assert got[0].title == "The real title of the paper" and got[0].a is None and got[1].a == "We did it." and got[2].a == "We did."
+
+
+def test_citations_of_documents(spark, tmp_path):
+    from palimpsest import registry
+
+    kinds = dict(registry.queries()["citation_types"](spark, "").collect())
+    texts = [f"A long text. {x} And more." for x in kinds] + [None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = dict(registry.queries()["citation_types_documents"](spark, str(tmp_path)).collect())
+    assert got == dict(enumerate([*kinds.values(), None])) and len(set(got.values())) == 5
