@@ -1,22 +1,27 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one per block element, with the length of the text that can be content; lines of
-menus, notices, adverts, comments and the like count as empty. Lengths are summed over sliding windows of
-lines; where the sum surges over the threshold content begins, and where it dives to nothing content ends.
-Text between such points is kept. A page that marks its article gives the search that range and a threshold of
-one character, so that short articles are whole.
+Markup is stripped to lines, one per block element. Each line weighs as much as it has text: nothing where it is
+hidden, part of a menu, notice, advert, comment or the like, all links, or a copyright line; much more where the
+page marks its article. Weights are summed over sliding windows of lines. Where the sum surges over the threshold
+content begins, and where it dives below a fraction of it content ends; what has weight between such points is
+kept. The threshold is the usual one or, on a page that never reaches it, the page's own highest sum, so that a
+short article is found like a long one.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .shared import tidy
+
 WINDOW = 3
 THRESHOLD = 86
 
@@ -32,10 +37,22 @@ _SIDE_WORDS = frozenset(
 )
 _ARTICLE_WORDS = frozenset("article articlebody content entry maintext post postbody story".split())
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<close2>/?)(?P<name2>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs2>[^>]*)>",
-    re.S,
-)
+#: Elements whose end tag may be left out: a start tag of the second kind ends an open one of the first.
+_CELLS = frozenset("td th".split())
+_ENDED_BY = {"li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "tr": frozenset(["tr"]), "td": _CELLS | {"tr"}, "th": _CELLS | {"tr"}, "option": frozenset(["option"])}
+_NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9:-]*)")
+_TO_QUOTE = re.compile(r"[^>\"']*+")
+_COPYRIGHT = re.compile(r"\s*(?:\u00a9|\(c\)|copyright\b)|\ball rights reserved\b", re.I)
+
+
+class Line(NamedTuple):
+    text: str
+    side: bool  # hidden or part of something that is no article
+    mark: int  # 2 inside an article or main element, 1 inside one whose class says so, else 0
+    heading: int  # its level, 0 for none
+    linked: int  # characters inside links
+
+
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -64,94 +81,208 @@ def _kind(name: str, attrs: str) -> str:
     return kind
 
 
-def lines_of(html: str) -> list[tuple[str, bool, int]]:
-    """(text, can be content, depth of article marks: 2 article or main, 1 a class that says so, 0) by block."""
-    out: list[tuple[str, bool, int]] = []
-    stack: list[tuple[str, str]] = []
-    side = header = article = marked = heading = 0
-    text: list[str] = []
-
-    def flush() -> None:
-        line = " ".join(unescape("".join(text)).split())
-        text.clear()
-        if line:
-            out.append((line, not side and not (header and not (heading and article)), 2 if article else 1 if marked else 0))
-
-    def count(kind: str, by: int) -> None:
-        nonlocal side, header, article, marked, heading
-        side += by * (kind == "side")
-        header += by * (kind == "header")
-        article += by * (kind == "article")
-        marked += by * (kind == "marked")
-        heading += by * (kind == "heading")
-
-    at, end = 0, len(html)
-    while at < end:
-        m = _TAG.search(html, at)
-        if not m:
-            text.append(html[at:])
-            break
-        text.append(html[at : m.start()])
-        at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                text.append(m[0][9:-3].replace("&", "&amp;").replace("<", "&lt;"))
-            continue
-        closes, attrs = bool(m["close"] or m["close2"]), m["attrs"] or m["attrs2"] or ""
-        if name in _RAW and not closes:
-            if name == "title" or name in _BLOCKS:
-                flush()
-            stop = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = stop.end() if stop else (end if name in ("script", "style", "textarea", "title") else at)
-            continue
+class _Page:
+    """A page read from left to right. Every search that fails is never repeated, so the time is linear in the page."""
+
+    def __init__(self, html: str):
+        self.html, self.end = html, len(html)
+        self.lines: list[Line] = []
+        self.stack: list[tuple[str, str]] = []
+        self.open: Counter[str] = Counter()  # names on the stack
+        self.kinds: Counter[str] = Counter()  # kinds on the stack
+        self.parts: list[str] = []
+        self.linked, self.in_link, self.heading = 0, False, 0
+        self._ahead: dict[str, int] = {}  # end tag -> where the next one is
+
+    def find(self, what: str, at: int) -> int:
+        """Where ``what`` is at or after ``at``, or the page's end; looked for at most once per place."""
+        known = self._ahead.get(what, -1)
+        if known < at:
+            known = self.html.find(what, at)
+            self._ahead[what] = known = self.end if known < 0 else known
+        return known
+
+    def tag_end(self, at: int) -> int:
+        """Position of the > that ends a tag; one inside a quoted value, which follows a =, doesn't count."""
+        while True:
+            at = _TO_QUOTE.match(self.html, at).end()
+            if at >= self.end or self.html[at] == ">":
+                return at
+            quote = self.html[at]
+            if self.html[max(0, at - 8) : at].rstrip().endswith("="):
+                stop = self.find(quote, at + 1)
+                if stop < self.end:
+                    at = stop
+            at += 1
+
+    def closing(self, name: str, at: int) -> int:
+        """Where the next end tag of ``name`` begins."""
+        key = "/" + name
+        known = self._ahead.get(key, -1)
+        if known < at:
+            m = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(self.html, at)
+            self._ahead[key] = known = m.start() if m else self.end
+        return known
+
+    def say(self, text: str) -> None:
+        self.parts.append(text)
+        if self.in_link:
+            self.linked += len(text.strip())
+
+    def flush(self) -> None:
+        if self.parts:
+            line = " ".join(unescape("".join(self.parts)).split())
+            self.parts.clear()
+            if line:
+                k = self.kinds
+                side = bool(k["side"] or (k["header"] and not (k["heading"] and k["article"])))
+                self.lines.append(Line(line, side, 2 if k["article"] else 1 if k["marked"] else 0, self.heading if k["heading"] else 0, self.linked))
+        self.linked = 0
+
+    def push(self, name: str, kind: str) -> None:
+        self.stack.append((name, kind))
+        self.open[name] += 1
+        self.kinds[kind] += 1
+
+    def pop(self) -> str:
+        name, kind = self.stack.pop()
+        self.open[name] -= 1
+        self.kinds[kind] -= 1
+        return name
+
+    def close(self, name: str) -> None:
+        if self.open[name]:
+            while self.pop() != name:
+                pass
+
+    def start(self, name: str, attrs: str, at: int) -> None:
         if name in _BLOCKS:
-            flush()
-        elif name == "br":
-            text.append(" ")
-        if name in _VOID or attrs.endswith("/") and name not in _BLOCKS:
-            continue
-        if closes:
-            if any(n == name for n, _ in stack):
-                while stack:
-                    n, kind = stack.pop()
-                    count(kind, -1)
-                    if n == name:
-                        break
-            continue
-        if name in ("body",):  # what a page's head left open ends here
-            while stack and stack[-1][0] == "head":
-                count(stack.pop()[1], -1)
+            self.in_link = False
+            if self.stack and (self.stack[-1][0] == "p" or name in _ENDED_BY.get(self.stack[-1][0], ())):
+                self.pop()
+            if name == "tr" and self.stack and self.stack[-1][0] == "tr":
+                self.pop()
+        if name == "body":  # what a page's head left open ends here
+            while self.stack and self.stack[-1][0] == "head":
+                self.pop()
+        if name == "a":
+            self.in_link = "href" in attrs.lower()
         kind = "header" if name == "header" else "heading" if name in _HEADINGS else _kind(name, attrs)
-        # Inline elements and paragraphs are often left open; only what decides about its content is held.
-        if kind or name in ("div", "section", "article", "main", "ul", "ol", "dl", "table", "figure", "details", "blockquote", "span") and name != "span":
-            if kind == "side" and name in ("p", "li", "a", "b", "i", "em", "strong", "span", "td", "tr", "dd", "dt"):
-                closing = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                if not closing:
-                    continue
-            stack.append((name, kind))
-            count(kind, 1)
-    flush()
+        if kind == "heading":
+            self.heading = int(name[1])
+        if name in _BLOCKS or (kind and self.closing(name, at) < self.end):  # what is never closed inside a line marks nothing
+            self.push(name, kind)
+
+    def read(self) -> list[Line]:
+        html, at = self.html, 0
+        while at < self.end:
+            tag = html.find("<", at)
+            if tag < 0:
+                self.say(html[at:])
+                break
+            if tag > at:
+                self.say(html[at:tag])
+            if html.startswith("<!--", tag):
+                stop = self.find("-->", tag + 4)
+                at = min(self.end, stop + 3)
+                continue
+            if html.startswith("<![CDATA[", tag):
+                stop = self.find("]]>", tag + 9)
+                self.say(html[tag + 9 : stop].replace("&", "&amp;").replace("<", "&lt;"))
+                at = min(self.end, stop + 3)
+                continue
+            if html.startswith(("<!", "<?"), tag):
+                at = min(self.end, self.find(">", tag) + 1)
+                continue
+            m = _NAME.match(html, tag + 1)
+            if not m:  # a < of the text
+                self.say("&lt;")
+                at = tag + 1
+                continue
+            stop = self.tag_end(m.end())
+            name, attrs, closes = m[1].lower(), html[m.end() : stop], html[tag + 1] == "/"
+            at = stop + 1
+            if name in _RAW and not closes:
+                if name == "title":
+                    self.flush()
+                stop = self.closing(name, at)
+                if stop < self.end or name in ("script", "style", "textarea", "title"):
+                    at = stop
+                continue
+            if name in _BLOCKS:
+                self.flush()
+            elif name == "br":
+                self.say(" ")
+            if name in _RAW or name in _VOID or (attrs.endswith("/") and name not in _BLOCKS):
+                continue
+            if closes:
+                if name == "a" or name in _BLOCKS:
+                    self.in_link = False
+                self.close(name)
+            else:
+                self.start(name, attrs, at)
+        self.flush()
+        return self.lines
+
+
+def lines_of(html: str | None) -> list[Line]:
+    """The page's lines, one for each block with text, in page order."""
+    return _Page(html or "").read()
+
+
+def weights_of(lines: list[Line], threshold: int = THRESHOLD) -> list[int]:
+    """Weight of each line: its characters; none on the side, for links and copyright lines; more by the article's marks.
+
+    Where the page marks its article (or an element by class), lines in it weigh a threshold more, and others a
+    4096th of their characters.
+    """
+    best = max((x.mark for x in lines if not x.side), default=0)
+    out = []
+    for x in lines:
+        n = len(x.text)
+        if x.side:
+            n = 0
+        elif best and x.mark == best:
+            n += threshold
+        elif 2 * x.linked > n or _COPYRIGHT.search(x.text):
+            n = 0
+        elif best:
+            n >>= 12
+        out.append(n)
     return out
 
 
-def main_blocks(html: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> list[str]:
-    """Blocks between surge and dive points; none for null, empty and textless pages."""
-    lines = lines_of(html or "")
-    best = max((mark for text, good, mark in lines if good), default=0)
-    least = 1 if best else threshold
-    sizes = [len(text) if good and mark >= best else 0 for text, good, mark in lines]
-    sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
+def main_blocks(html: str | None, window: int = WINDOW, threshold: int = THRESHOLD, dive: float = 0.125) -> list[str]:
+    """Blocks between surge and dive points; none for null, empty and textless pages.
+
+    Sums are of the ``window`` lines from each. Content is a run of windows whose sums are at least ``dive`` of the
+    threshold, and one of which surges to it (or to the page's highest sum, where that is less); every line with
+    weight in it is kept. Where no mark says more, short lines before a first-level heading in the run lead up to it
+    and are left out. Very long pages and broken markup take time linear in the page: unclosed quotes, comments and
+    elements end with the page.
+    """
+    lines = lines_of(html)
+    weights = weights_of(lines, threshold)
+    n = len(lines)
+    sums = [sum(weights[i : i + window]) for i in range(n)]
+    least = min(threshold, max(sums, default=0))
+    if not least:
+        return []
     kept: list[str] = []
     at = 0
-    while at < len(sizes):
-        if sums[at] >= least and sizes[at]:  # a surge
-            stop = at
-            while stop < len(sizes) and sums[stop] > 0:  # until the dive
-                stop += 1
-            kept += [lines[k][0] for k in range(at, stop) if sizes[k]]
-            at = stop
-        at += 1
+    while at < n:
+        stop = at
+        while stop < n and sums[stop] >= max(1.0, dive * least):  # until the dive
+            stop += 1
+        if stop > at and max(sums[at:stop]) >= least:  # a surge
+            last = min(n, stop + window - 1)
+            first = next((k for k in range(at, last) if lines[k].heading == 1 and weights[k]), at)
+            if sum(weights[at:first]) >= least or any(x.mark for x in lines[at:first]):
+                first = at
+            kept += [lines[k].text for k in range(first, last) if weights[k]]
+            at = last
+        else:
+            at = stop + 1
     return kept
 
 
@@ -167,5 +298,6 @@ def extracted(html: str = "html") -> Column:
     def of(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for block in blocks:
             yield pd.Series([main_text(x) for x in block], dtype=object)
+        tidy()
 
     return of.asNondeterministic()(F.col(html))

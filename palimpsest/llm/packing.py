@@ -15,7 +15,6 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -132,7 +131,10 @@ def plan(histogram: dict[int, int], window: int) -> Plan:
 
 
 class _Bytes(dict):
-    """Word -> its ids as little-endian 32-bit bytes, kept until there are many; unknown words go to the library."""
+    """Word -> its ids as little-endian 32-bit bytes; unknown words go to the library.
+
+    At most 450,000 words of at most 64 characters are kept, some 100 MB; a longer one goes after its block of texts.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -179,23 +181,31 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
         _tokenizers[path] = _Bytes(path)
     own = _tokenizers[path]
     split = [_pieces(t) for t in texts]
-    own.learn(set().union(*split))
-    return [b"".join(map(own.__getitem__, ws)) for ws in split]
+    words = set().union(*split)
+    own.learn(words)
+    out = [b"".join(map(own.__getitem__, ws)) for ws in split]
+    for w in words:
+        if len(w) > 64:
+            del own[w]
+    return out
 
 
 _MARKS = re.compile(r"(?:[^\w\s]|_){2}")
+#: Printable ASCII with tab and line ends, Latin letters and marks but the no-break space and the dotted capital I,
+#: dashes and quotation marks: none combines with a neighbour, and each letter's lower case is one letter.
+_PLAIN = re.compile("[\t\n\r -~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f\u2010-\u2027]*")
 
 
 def _pieces(text: str) -> list[str]:
     """The text between spaces, tabs and line ends; other white space stays in a piece, for the library to drop.
 
-    Where no two marks follow each other, full stops and commas are tokens by themselves and stand apart, and a
-    text in composed form may be lower-cased first (but for two letters whose lower case depends on context);
-    both make for far fewer different pieces.
+    Composition, lower-casing, special tokens and the tokenizer's own split all stay within such pieces. A text of
+    plain characters only, without a special token's opening, has fewer different pieces: it may be lower-cased
+    first, and where no two marks follow each other, full stops and commas are tokens by themselves.
     """
-    if not _MARKS.search(text):
-        text = text.replace(".", " . ").replace(",", " , ")
-    if text.isascii() or ("\u0130" not in text and "\u03a3" not in text and is_normalized("NFC", text)):
+    if "<|" not in text and _PLAIN.fullmatch(text):
+        if not _MARKS.search(text):
+            text = text.replace(".", " . ").replace(",", " , ")
         text = text.lower()
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 

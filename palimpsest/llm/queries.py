@@ -8,9 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
-from . import bpe, embedding_dedup, html_text, language_id, packing, simhash, sketches, substring_dedup, suffix_dedup, toxicity
+from . import bpe, embedding_dedup, html_text, language_id, packing, simhash, sketches, stages, substring_dedup, suffix_dedup, toxicity
 
 #: Places of the public vocabularies; callers of the operators pass their own.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -75,7 +73,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests on one machine), a local one."""
+    """The folder in spark.checkpoint.dir. Where it is unset, one on this machine if the master is local, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "palimpsest-shared")
-        spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 

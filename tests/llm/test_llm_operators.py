@@ -3,17 +3,20 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from palimpsest.llm import bpe, components, embedding_dedup, html_text, language_id, packing, simhash, sketches, substring_dedup, suffix_dedup, toxicity
+from palimpsest.llm import bpe, components, embedding_dedup, html_text, language_id, packing, simhash, sketches, stages, substring_dedup, suffix_dedup, toxicity
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, kept string"
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -195,6 +198,48 @@ def test_html():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p>") == ""
 
 
+def test_html_without_any_mark():
+    """The sample pages with their element names and classes taken away, against the marked article."""
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+    right = wrong = missed = 0
+    for page in pages:
+        article = re.search("<article>(.*)</article>", page, re.S)[1]
+        want = {" ".join(unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split("</?(?:p|h1)>|<br>", article)} - {""}
+        plain = re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", re.sub(' class="[^"]*"', "", page))
+        got = html_text.main_blocks(plain)
+        joined = " ".join(want)
+        right += sum(len(x) for x in got if x in joined or any(w in x for w in want))
+        wrong += sum(len(x) for x in got if not any(w in x for w in want))
+        missed += sum(len(w) for w in want if not any(w in x for x in got))
+    assert right / (right + wrong) > 0.99 and right / (right + missed) > 0.99
+
+
+def test_html_short_articles_and_broken_markup():
+    main = html_text.main_text
+    assert main("<body><p>A short article of one line.</p></body>") == "A short article of one line."
+    assert main("<div><p class=ad>buy<p>A first line.<p>And the next one.</div>") == "A first line.\n\nAnd the next one."
+    assert main("<p>a < b and <b title=it's>c</b></p>") == "a < b and c"
+    assert main('<ul><li><a href="/x">One of the links</a><li><a href="/y">Another of the links</a></ul><p>' + "word " * 30) == ("word " * 30).strip()
+    n = 20_000
+    for bad in ("<div>" * n + "</div>" * n, "<a x=\"" * n, "<p x='a\">" * n, "<span class=ad>" * n + "</span>", "<!--" * n, "<svg>" * n, "<" * n, "<div class=ad><p>x" * n):
+        began = time.process_time()
+        main(bad)
+        assert time.process_time() - began < 3
+    long = "<article>" + "".join(f"<p>{k} line of a very long page</p>" for k in range(30_000)) + "</article>"
+    assert len(html_text.main_blocks(long)) == 30_000
+
+
+def test_word_ids_are_the_librarys_for_odd_texts():
+    library, rng = Tokenizer.from_file(WORDS), random.Random(7)
+    odd = list("aAbB..,,  \n\t\r'sSt_019-\u00e9\u00c9\u00df\u0130\u0131\u03a3\u03c2\x1c\x1d\x1e\x1f\x85\xa0\xad\u0301\u0307\u0345\u00b2\u00bd\u2003\u2028\u200d\ufeff\u65e5\u1112\u1161\uac01\U0001f600\ufb01\u01c5")
+    odd += ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "PTT\u0130.", "a\x1c.b", "\x1f,", "a.\x1d", "'re", "'LL"]
+    made = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    made += ["".join(rng.choice("abcd\u00e9., \n'S_A-\u00c0\u017d") for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    got = packing.encode_texts(WORDS, made)
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(made, add_special_tokens=False)]
+    assert got == want
+
+
 def test_language_and_toxicity(spark):
     rng = random.Random(4)
     en, fr = ["the", "and", "with", "thing", "shall"], ["le", "que", "été", "pour", "eaux"]
@@ -283,7 +328,7 @@ def test_near_duplicate_stage_against_brute_force(spark):
             group[a] = group[b] = min(group[a], group[b])
     want = {i for i in range(len(rows)) if group[i] == i}
     df = spark.createDataFrame([(i, " ".join(r), "en", "s", 0, "") for i, r in enumerate(rows)], DDL)
-    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    got = {r.doc_id for r in stages.near_duplicates(spark, df, "").collect()}
     assert got == want and len(links) > 300
     assert {r.doc_id for r in simhash.keep_one(df).collect()} != want
 
