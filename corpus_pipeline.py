@@ -1,65 +1,10 @@
-"""A corpus from raw documents to packed training sequences: five stages, each one of the llm operators."""
-
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from palimpsest.llm import language_id, packing, simhash, substring_dedup, toxicity
-from palimpsest.llm.shared import cut
-
-MIN_LANGUAGE_SCORE = 0.5
-TOXIC_FROM = 0.7
-NEAR_SHINGLE = 5
-NEAR_FROM = 0.8
-
-
-def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is one of the learned ones with at least even odds; columns stay as they are."""
-    model = language_id.fit(docs)
-    marked = language_id.identify(docs, model, label_as="__lang_pred", score_as="__lang_score")
-    return marked.where((F.col("__lang_pred") != language_id.UNKNOWN) & (F.col("__lang_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
-
-
-def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity under the threshold; the model learns from the labels of documents that are there."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, score_as="__toxicity").where(F.col("__toxicity") < TOXIC_FROM).select(*docs.columns)
+"""A corpus from raw documents to packed training sequences: five stages, each one of the llm operators.
 
+The stages themselves are in :mod:`palimpsest.llm.stages`; without that subpackage this module can't be imported.
+"""
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by SimHash or shared shingles, both verified."""
-    return simhash.keep_one_similar(docs, shingle=NEAR_SHINGLE, similarity=NEAR_FROM)
-
-
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows of 35 words that start anywhere else too; rows stay."""
-    return substring_dedup.drop_repeats(docs)
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
-
-
-STAGES = [
-    ("language_id", by_language),
-    ("toxicity", by_toxicity),
-    ("simhash_dedup", near_duplicates),
-    ("substring_dedup", repeated_passages),
-    ("packing", packed),
-]
-
-#: SQL can express neither the trained stages nor the tokenizer; tests/llm holds the others against brute force.
-ORACLE_SQL = None
+from __future__ import annotations
 
+from palimpsest.llm.stages import ORACLE_SQL, STAGES, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
