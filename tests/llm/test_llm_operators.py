@@ -174,24 +174,56 @@ def test_packing(docs):
         assert all(zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for p in own.itertuples())
 
 
+def components_of(link):
+    group = np.arange(len(link))
+    while True:
+        new = np.minimum(group, np.where(link, group[None, :], len(link)).min(1, initial=len(link)))
+        new = new[new]
+        if (new == group).all():
+            return group
+        group = new
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 16))
     rows = [(i, (base[i % 60] + 0.05 * rng.standard_normal(16)).tolist()) for i in range(240)]
-    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, [1.0, 2.0]), (905, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    x = np.array([v for _, v in rows[:240]], np.float32).astype(float)
+    rows += [(i, rows[i - 240][1]) for i in range(240, 260)]  # copies
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, [1.0, 2.0]), (905, []), (906, [1.0, float("inf")] * 8), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"key": F.lit(1), "id": F.lit("x"), "node": F.lit(2)}).repartition(3)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     link = x @ x.T >= 0.95
     np.fill_diagonal(link, False)
+    group = components_of(link)
     for block in (1024, 3):
-        got = {r.vec_id: r for r in embedding_dedup.embedding_components(df, block=block).collect()}
-        found = sum(got[i].n_links for i in range(240))
-        assert found >= 0.9 * link.sum() and all(got[i].n_links <= link[i].sum() for i in range(240))
-        assert all(got[k].n_links == 0 and got[k].kept for k in range(900, 906))
+        got = {r.vec_id: r for r in embedding_dedup.embedding_components(df, block=block, recall=0.999999).collect()}
+        assert len(got) == len(rows)
+        for i in range(260):
+            assert (got[i].n_links, got[i].component_id, got[i].kept) == (link[i].sum(), group[i], group[i] == i)
+        assert all(got[k].n_links == 0 and got[k].kept for k in range(900, 907))
+    doubles = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert embedding_dedup.embedding_components(doubles).agg(F.sum("n_links")).first()[0] >= 0.99 * link.sum()
     assert embedding_dedup.embedding_components(df.limit(0)).count() == 0
 
 
+def test_a_third_of_all_vectors_are_equal(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((10_000, 24)).astype(np.float32)
+    x[:3000] = x[0]
+    x[3000:3400] = x[0] + 0.02 * rng.standard_normal((400, 24)).astype(np.float32)
+    order = rng.permutation(len(x))
+    x = x[order]
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    link = y @ y.T >= 0.95
+    np.fill_diagonal(link, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = embedding_dedup.embedding_components(df, block=256).toPandas().set_index("vec_id").sort_index()
+    assert (got.component_id.to_numpy() == components_of(link)).mean() > 0.9999
+    assert got.n_links.sum() >= 0.999 * link.sum() and (got.n_links.to_numpy() <= link.sum(1)).all()
+
+
 def test_html():
     page = '<html><head><title>T</title></head><body><nav>menu</nav><header><h1>Site</h1></header><div class="cookie-notice">We use</div><article><h1>Head &amp; line</h1><p>One<br>two <b>bold</b>word<p>Three<script>x="</p>"</script><div class="comments"><p>bad</p></div><form>f</form></article><footer>x</footer></body></html>'
     assert html_text.main_text(page) == "Head & line\n\nOne two boldword\n\nThree"
