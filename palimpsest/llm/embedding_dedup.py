@@ -4,7 +4,7 @@ A table's key is the signs of a vector against a few random hyperplanes; vectors
 probability 1 - arccos(c) / pi. The key length follows log2 of the number of vectors, so buckets stay small, and
 the number of tables is what the wanted recall at the threshold takes. Equal vectors are one node with a count.
 
-Only keys, ids and 64 more signs of each vector are dealt to all tables. In a bucket the signs say who can be near
+Only keys, ids and 128 more signs of each vector are dealt to all tables. In a bucket the signs say who can be near
 to whom; the few vectors that have such a partner are then fetched, dealt to their buckets again, and compared
 exactly, in double precision. A pair that meets in several tables counts in the first. A bucket of many vectors is
 cut to blocks, and every pair of blocks is a task's unit of its own. What leaves a bucket is one row per vector:
@@ -28,7 +28,7 @@ from .components import connected_components
 from .shared import cut, tidy
 from .winnow import stretches
 
-_SIGNS = 64
+_SIGNS = 128
 
 
 def shape(n: int, threshold: float, recall: float, bucket: int = 64) -> tuple[int, int]:
@@ -39,7 +39,7 @@ def shape(n: int, threshold: float, recall: float, bucket: int = 64) -> tuple[in
 
 
 def most_differing(threshold: float) -> int:
-    """How many of the 64 signs may differ between vectors at the threshold: five deviations over the mean."""
+    """How many of the 128 signs may differ between vectors at the threshold: five deviations over the mean."""
     p = math.acos(min(1.0, threshold)) / math.pi
     return math.ceil(_SIGNS * p + 5 * math.sqrt(_SIGNS * p * (1 - p)))
 
@@ -58,9 +58,9 @@ def keys_of(x: np.ndarray, bits: int, tables: int, seed: int = 17) -> np.ndarray
 
 
 def signs_of(x: np.ndarray) -> np.ndarray:
-    """64 further signs of each row of x, as one unsigned integer."""
+    """128 further signs of each row of x, as two unsigned integers."""
     signs = x @ np.random.default_rng([29, x.shape[1]]).standard_normal((x.shape[1], _SIGNS)) > 0
-    return np.packbits(signs, axis=1).view(np.uint64).ravel()
+    return np.packbits(signs, axis=1).view(np.uint64)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -94,7 +94,7 @@ def _labels(link: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _near(signs: np.ndarray, side: np.ndarray, most: int) -> np.ndarray:
     """Which rows of a bucket (or pair of blocks) can be near to which, by their signs."""
-    near = np.bitwise_count(signs[:, None] ^ signs[None, :]) <= most
+    near = sum(np.bitwise_count(s[:, None] ^ s[None, :]) for s in signs.T) <= most
     if side.any():  # a pair of different blocks: only links across
         near &= side[:, None] != side[None, :]
     np.fill_diagonal(near, False)
@@ -198,15 +198,16 @@ def embedding_links(nodes: Nodes, threshold: float = 0.95, recall: float = 0.999
             for dim in np.unique(dims).tolist():
                 own = b.filter(pa.array(dims == dim))
                 x = _unit(np.frombuffer(b"".join(own.column(2).to_pylist()), kind).reshape(own.num_rows, dim))
-                keys, signs = keys_of(x, bits, tables), pa.array(signs_of(x).view(np.int64))
+                keys, signs = keys_of(x, bits, tables), [pa.array(s) for s in np.ascontiguousarray(signs_of(x).view(np.int64).T)]
                 for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, t] + (np.int64(dim * tables + t) << bits)), own.column(0), signs], ["key", "id", "signs"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, t] + (np.int64(dim * tables + t) << bits)), own.column(0), *signs], ["key", "id", "s", "t"])
         tidy()
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _buckets(batches):
             if b.num_rows > 1:
-                found = _near(np.asarray(b.column(5)).view(np.uint64), np.asarray(b.column(3)), most).any(1)
+                signs = np.stack([np.asarray(b.column(k)).view(np.uint64) for k in (5, 6)], 1)
+                found = _near(signs, np.asarray(b.column(3)), most).any(1)
                 if found.any():
                     yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(found)), b.column(4).filter(pa.array(found))], ["key", "id"])
         tidy()
@@ -221,8 +222,8 @@ def embedding_links(nodes: Nodes, threshold: float = 0.95, recall: float = 0.999
                 yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], ["id", "n", "low"])
         tidy()
 
-    placed = nodes.vectors.select("id", "dim", "body").mapInArrow(spread, "key long, id long, signs long")
-    rows, _ = _dealt(placed, 4 * block, "hot-buckets")
+    placed = nodes.vectors.select("id", "dim", "body").mapInArrow(spread, "key long, id long, s long, t long")
+    rows, _ = _dealt(placed, 2 * block, "hot-buckets")
     met = cut(rows.mapInArrow(candidates, "key long, id long").distinct(), "met")
     full = met.join(nodes.vectors.select("id", "copies", "body"), "id").select("key", "id", "copies", "body")
     rows, _ = _dealt(full, block, "hot-vectors")
