@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import cut, tidy
-from .winnow import stretches
+from .shared import cut, tidy, units_of
 
 _SIGNS = 128
 
@@ -132,30 +131,6 @@ def _dealt(rows: DataFrame, block: int, label: str) -> tuple[DataFrame, list[str
     return out.repartition(*cols).sortWithinPartitions(*cols), cols
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of one unit (key, a, b) at a time."""
-    held: list[pa.RecordBatch] = []
-    now: tuple | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key, one, two = (np.asarray(b.column(k)) for k in range(3))
-        marks = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
-        for s, e in stretches(marks):
-            which = (int(key[s]), int(one[s]), int(two[s]))
-            if which != now and held:
-                yield _joined(held)
-                held = []
-            now = which
-            held.append(b.slice(s, e - s))
-    if held:
-        yield _joined(held)
-
-
-def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 class Nodes:
     """Different vectors, each under the smallest id that has it: ``vectors`` (id, copies, dim, body), ``members`` (id, content)."""
 
@@ -204,7 +179,7 @@ def embedding_links(nodes: Nodes, threshold: float = 0.95, recall: float = 0.999
         tidy()
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _buckets(batches):
+        for b in units_of(batches):
             if b.num_rows > 1:
                 signs = np.stack([np.asarray(b.column(k)).view(np.uint64) for k in (5, 6)], 1)
                 found = _near(signs, np.asarray(b.column(3)), most).any(1)
@@ -213,7 +188,7 @@ def embedding_links(nodes: Nodes, threshold: float = 0.95, recall: float = 0.999
         tidy()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _buckets(batches):
+        for b in units_of(batches):
             if b.num_rows > 1:
                 key = b.column(0)[0].as_py()
                 dim, table = divmod(key >> bits, tables)

@@ -7,7 +7,9 @@ import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,27 +24,46 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+def cut(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the written table.
 
     A later stage that loses an executor rereads the files instead of recomputing, and values that
-    depend on the task that made them (segment and partition numbers) stay what they were.
+    depend on the task that made them (segment and partition numbers) stay what they were. The files go at the end
+    of the innermost :func:`scratch`, with ``keep`` at that of the one around it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._palimpsest_path = path
+    if len(_scopes) > keep:
+        _scopes[-1 - keep].append((spark, path))
     return out
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that :func:`cut` writes in here are deleted at the end, but for those it keeps."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`cut` that no later plan reads."""
-    path = getattr(df, "_palimpsest_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    if path := getattr(df, "_palimpsest_path", None):
+        _delete(df.sparkSession, path)
 
 
 def strings(column) -> list[str]:
@@ -55,6 +76,31 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
+def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one unit of work at a time: those of equal numbers in the first three columns, by which rows are sorted."""
+    held: list[pa.RecordBatch] = []
+    now: tuple | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        own = [np.asarray(b.column(k)) for k in range(3)]
+        new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in own])) + 1
+        edges = [0, *new.tolist(), b.num_rows]
+        for s, e in zip(edges, edges[1:], strict=False):
+            which = tuple(int(c[s]) for c in own)
+            if which != now and held:
+                yield _joined(held)
+                held = []
+            now = which
+            held.append(b.slice(s, e - s))
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def tidy() -> None:
     """Hand memory that a finished piece of work freed back to the system: workers are reused, and idle ones count."""
     pa.default_memory_pool().release_unused()

@@ -16,12 +16,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut, tidy
+from .shared import cut, scratch, tidy, units_of
+from .winnow import mixed
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -225,35 +227,129 @@ def _resemble(a, b, shingle: int, similarity: float):
     return of.asNondeterministic()(a, b)
 
 
-def keep_one_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, radius: int = 2, near: int = 64) -> DataFrame:
+def _neighbours(rows: DataFrame, similarity: float, reach: int) -> DataFrame:
+    """``(a, b)`` of each row of (shingle, n, node) with the next ``reach`` of its shingle by size: a chain through every group.
+
+    Rows are dealt by range, so that a shingle of very many texts is many tasks' work.
+    """
+    cols = ["shingle", "n", "node"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            s, n, node = (np.asarray(b.column(k)) for k in range(3))
+            if last is not None:
+                s, n, node = (np.concatenate(x) for x in zip(last, (s, n, node), strict=True))
+            a, c = [], []
+            for k in range(1, min(reach, len(s) - 1) + 1):
+                fit = (s[k:] == s[:-k]) & (n[:-k] >= similarity * n[k:] - 1e-9)
+                a.append(np.minimum(node[:-k], node[k:])[fit])
+                c.append(np.maximum(node[:-k], node[k:])[fit])
+            last = (s[-reach:], n[-reach:], node[-reach:])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(c))], ["a", "b"])
+
+    return rows.select(*cols).repartitionByRange(*cols).sortWithinPartitions(*cols).mapInArrow(run, "a long, b long").distinct()
+
+
+_MINIMA = 128
+_FACTORS = np.random.default_rng(41).integers(1, 1 << 62, _MINIMA, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _minima(u: np.ndarray) -> bytes:
+    """128 bytes of minimum hashes of a set of shingle hashes: two sets agree on a byte with their Jaccard similarity or a bit more."""
+    out = np.full(_MINIMA, np.iinfo(np.uint64).max)
+    for at in range(0, len(u), 4096):
+        out = np.minimum(out, (mixed(u[at : at + 4096])[:, None] * _FACTORS).min(0))
+    return (mixed(out) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def _across(rows: DataFrame, similarity: float, block: int) -> DataFrame:
+    """``(a, b)``: of rows (shingle, n, node, component, minima), those of one shingle and different components that can be similar.
+
+    The largest component of a shingle is left to itself; every other row is compared with all rows of its shingle,
+    block by block, by minima, at five deviations under the similarity.
+    """
+    per = rows.groupBy("shingle", "component").agg(F.count("*").alias("c"))
+    groups = per.groupBy("shingle").agg(F.sum("c").alias("all"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most")).where("all > most")
+    groups = groups.select("shingle", "main", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("few"), F.ceil(F.col("all") / block).cast("int").alias("many"))
+    known = rows.join(groups, "shingle")
+    cols = ["shingle", "p", "q"]
+    own = F.xxhash64("node")
+    odd = known.where("component <> main").withColumn("p", F.pmod(own, "few")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).withColumn("side", F.lit(0))
+    every = known.withColumn("q", F.pmod(own, "many")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("few") - 1))).withColumn("side", F.lit(1))
+    rest = ["side", "n", "node", "component", "minima"]
+    units = odd.select(*[F.col(c).cast("long") for c in cols], *rest).unionByName(every.select(*[F.col(c).cast("long") for c in cols], *rest))
+    least = _MINIMA * similarity - 5 * math.sqrt(_MINIMA * similarity * (1 - similarity))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in units_of(batches):
+            side, n, node, component = (np.asarray(b.column(k)) for k in range(3, 7))
+            minima = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(-1, _MINIMA)
+            x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if len(x) and len(y):
+                fit = (component[x][:, None] != component[y][None, :]) & (np.minimum(n[x][:, None], n[y][None, :]) >= similarity * np.maximum(n[x][:, None], n[y][None, :]) - 1e-9)
+                i, j = np.nonzero(fit)
+                for at in range(0, len(i), 1 << 16):
+                    s, t = x[i[at : at + (1 << 16)]], y[j[at : at + (1 << 16)]]
+                    like = (minima[s] == minima[t]).sum(1) >= least
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[s], node[t])[like]), pa.array(np.maximum(node[s], node[t])[like])], ["a", "b"])
+
+    return units.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(run, "a long, b long").distinct()
+
+
+def keep_one_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, radius: int = 2, small: int = 16, reach: int = 4, block: int = 512) -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of its group, linked by Jaccard ``similarity`` of whole texts' shingle sets.
 
     At such a similarity a SimHash of 64 bits differs in too many bits to be looked up, so candidates are prints within
     ``radius`` bits and, for the rest, texts that share a shingle of their prefixes, which misses no pair. Every
-    candidate is verified on the whole sets. A shingle that over ``near`` texts have in their prefix pairs each with
-    the next ``near`` by size only, so that a large group of near copies is linked in a chain and not in all pairs.
-    Equal sets are one node. Rows with equal or null keys are treated as in :func:`keep_one`.
+    candidate is verified on the whole sets. Up to ``small`` texts of a shingle are paired; more are first linked in a
+    chain by size, and then those that this did not put into one group are compared with all of the shingle, in
+    blocks, by 128 minimum hashes five deviations under the similarity (one pair in a million at the very similarity
+    is missed). Equal sets are one node. Rows with equal or null keys are treated as in :func:`keep_one`, null and
+    empty texts are copies of each other, other columns are not read, and an empty table gives an empty one.
     """
-    named = docs.where(F.col(key).isNotNull())
-    parts = _parts(text, shingle, similarity, _frequent(named, text, key, shingle))
-    marked = cut(named.select(F.col(key).alias("__key"), parts.alias("p")).select("__key", "p.*"), "similar")
-    nodes = cut(marked.groupBy("node").agg(F.min("__key").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n")), "similar-nodes")
-    reps = nodes.select("node", F.col("least").alias("__key"))
-    keyed = marked.join(reps, ["node", "__key"], "left_semi").dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("shingle"))
-    lists = keyed.groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("f")).where("size(f) > 1")
-    by_prefix = lists.select(F.explode(F.expr(f"flatten(transform(f, (x, i) -> transform(filter(slice(f, i + 2, {near}), y -> x.n >= {similarity} * y.n - 1e-9), y -> struct(least(x.node, y.node) as a, greatest(x.node, y.node) as b))))")).alias("p")).select("p.a", "p.b")
-    of_print = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    prints = near_pairs(of_print.select("fp"), radius)
-    left, right = (of_print.select(F.col("fp").alias(c), F.col("first").alias(f"n{c}")) for c in "ab")
-    by_print = prints.join(left, "a").join(right, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
-    pairs = cut(by_prefix.unionByName(by_print).distinct(), "similar-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    found = named.select(F.col(key).alias("__key"), F.col(text).alias("t")).join(reps.join(wanted, "node", "left_semi"), "__key")
-    same = _parts("t", shingle, similarity, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))  # of rows with one key, the node's
-    texts = cut(found.select("node", "t", same["node"].alias("own")).where("own = node").dropDuplicates(["node"]).select("node", "t"), "similar-texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-    linked = connected_components(both.where(_resemble(F.col("ta"), F.col("tb"), shingle, similarity)).select("a", "b"))
-    groups = nodes.select("node", "least").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = groups.groupBy("component").agg(F.min("least").alias("__rep")).select("__rep").distinct()
+    with scratch():
+        named = docs.where(F.col(key).isNotNull())
+        parts = _parts(text, shingle, similarity, _frequent(named, text, key, shingle))
+        marked = cut(named.select(F.col(key).alias("__key"), parts.alias("p")).select("__key", "p.*"), "similar")
+        nodes = cut(marked.groupBy("node").agg(F.min("__key").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n")), "similar-nodes")
+        reps = nodes.select("node", F.col("least").alias("__key"))
+        keyed = marked.join(reps, ["node", "__key"], "left_semi").dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("shingle"))
+        counts = keyed.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
+        shared = cut(keyed.join(counts, "shingle"), "similar-shingles")
+        lists = shared.where(F.col("c") <= small).groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("f"))
+        by_prefix = lists.select(F.explode(F.expr(f"flatten(transform(f, (x, i) -> transform(filter(slice(f, i + 2, size(f)), y -> x.n >= {similarity} * y.n - 1e-9), y -> struct(least(x.node, y.node) as a, greatest(x.node, y.node) as b))))")).alias("p")).select("p.a", "p.b")
+        of_print = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+        prints = near_pairs(of_print.select("fp"), radius)
+        left, right = (of_print.select(F.col("fp").alias(c), F.col("first").alias(f"n{c}")) for c in "ab")
+        by_print = prints.join(left, "a").join(right, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+        often = shared.where(F.col("c") > small).select("shingle", "n", "node")
+        pairs = cut(by_prefix.unionByName(by_print).unionByName(_neighbours(often, similarity, reach)).distinct(), "similar-pairs")
+
+        def text_of(wanted: DataFrame) -> DataFrame:
+            found = named.select(F.col(key).alias("__key"), F.col(text).alias("t")).join(reps.join(wanted, "node", "left_semi"), "__key")
+            same = _parts("t", shingle, similarity, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))  # of rows with one key, the node's
+            return found.select("node", "t", same["node"].alias("own")).where("own = node").dropDuplicates(["node"]).select("node", "t")
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            texts = cut(text_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "similar-texts")
+            both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+            return cut(both.where(_resemble(F.col("ta"), F.col("tb"), shingle, similarity)).select("a", "b"), "similar-links")
+
+        links = verified(pairs)
+        if often.limit(1).count():
+            so_far = connected_components(links)
+            placed = often.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            split = placed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
+            open_ = cut(placed.join(split, "shingle", "left_semi"), "similar-open")
+            if open_.limit(1).count():
+                of = F.pandas_udf(lambda block: pd.Series([_minima(np.unique(shingle_hashes(x, shingle))) for x in block]), "binary")
+                minima = cut(text_of(open_.select("node").distinct()).select("node", of(F.col("t")).alias("minima")), "similar-minima")
+                more = cut(_across(open_.join(minima, "node"), similarity, block).join(pairs, ["a", "b"], "left_anti"), "similar-pairs")
+                links = links.unionByName(verified(more))
+        linked = connected_components(links)
+        groups = nodes.select("node", "least").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        smallest = cut(groups.groupBy("component").agg(F.min("least").alias("__rep")).select("__rep").distinct(), "similar-kept", keep=True)
     kept = docs.join(smallest, docs[key] == smallest["__rep"], "left_semi")
     return kept.unionByName(docs.where(F.col(key).isNull()))

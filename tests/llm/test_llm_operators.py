@@ -365,6 +365,35 @@ def test_near_duplicate_stage_against_brute_force(spark):
     assert {r.doc_id for r in simhash.keep_one(df).collect()} != want
 
 
+def test_groups_over_every_bound_of_the_near_duplicate_stage(spark):
+    """Shingles that far more texts share than are paired: near copies of several sizes, and texts with a line in common only."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(150):  # copies from 160 to 247 words long: neighbours by size are often far apart
+        r = list(base)
+        for at in rng.sample(range(200), k % 4):
+            r[at] = f"x{rng.randrange(10**6)}"
+        rows.append(r[: 160 + k % 40] if k % 3 else r + [f"y{k}_{j}" for j in range(k % 48)])
+    line = [f"c{i}" for i in range(12)]
+    rows += [line + [f"z{k}_{j}" for j in range(3)] for k in range(120)]
+    rows += [line + ["tail"] * (k % 3) + [f"u{k // 2}"] for k in range(60)]
+    rng.shuffle(rows)
+    sets = [{tuple(r[i : i + 5]) for i in range(max(1, len(r) - 4))} for r in rows]
+    group = list(range(len(rows)))
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in rows:
+        before = list(group)
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+        if before == group:
+            break
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    for small, reach, block in ((16, 4, 512), (2, 1, 7)):
+        got = {r.doc_id for r in simhash.keep_one_similar(df, small=small, reach=reach, block=block).collect()}
+        assert got == {i for i in range(len(rows)) if group[i] == i}
+
+
 def test_long_words_are_scored_on_one_grid(monkeypatch):
     insult = toxicity._spans("idiot")[0][1:]
     monkeypatch.setattr(toxicity, "span_margins", lambda w, b, spans: np.array([float(insult in s) + 2.0 * (i and s.startswith(toxicity._BEGIN)) for i, s in enumerate(spans)]))
