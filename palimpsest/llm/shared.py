@@ -60,6 +60,25 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def keep(df: DataFrame) -> None:
+    """A table of :func:`cut` of the innermost :func:`scratch` stays as long as those of the one around it."""
+    for scope, outer in zip(_scopes[-1:], [*_scopes[-2:-1], []], strict=False):
+        for entry in [e for e in scope if e[1] == getattr(df, "_palimpsest_path", None)]:
+            scope.remove(entry)
+            outer.append(entry)
+
+
+def whole_tables(spark: SparkSession, path: str) -> list[str]:
+    """Names of the tables in a folder that were written to their end; none if there is no such folder."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(where):
+        return []
+    found = [x.getPath() for x in files.listStatus(where)]
+    return sorted(x.getName() for x in found if files.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`cut` that no later plan reads."""
     if path := getattr(df, "_palimpsest_path", None):

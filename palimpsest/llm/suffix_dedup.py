@@ -6,8 +6,8 @@ finds every repeat. Anchors whose k-gram is nowhere else are left out first. A s
 run, front-codes it (length of the prefix shared with the one before, then the rest) and sends each part of the
 hash range to its task. That task merges all runs with a loser tree whose nodes keep common-prefix lengths with
 the last output: a longer known prefix wins without looking at a byte, and equal ones are compared from there on.
-Out come the different contexts in order, each with the smallest id that has it, and the prefix lengths that
-group them by anchor.
+Out come the different contexts in order, each with the smallest id that has it and the prefix it shares with the
+one before; these lengths tell which contexts hold the same strings.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, discard, tidy
-from .winnow import MISSING_ID, Anchors, covered, mixed, rows_of, segments, split_parts, stretches, unpack
+from .winnow import MISSING_ID, Anchors, by_segment, covered, mixed, rows_of, segments, split_parts, stretches, text_bytes, unpack
 
 GRAM_BYTES = 24
 SEGMENT_BYTES = 1 << 20
@@ -156,7 +156,7 @@ def _anchor_entries(table: DataFrame, length: int, parts: int) -> DataFrame:
             short = u >> np.uint64(16)
             u, at = np.unique(short, return_index=True)
             several = np.logical_or.reduceat(several, at) if len(at) else several
-            slices = [(p, s, e) for p, (s, e) in enumerate(split_parts(u << np.uint64(16), parts)) if e > s]
+            slices = split_parts(u << np.uint64(16), parts)
             if slices:
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in slices], pa.int32()), pa.array([row["seg"]] * len(slices), pa.int64()), pa.array([_six(u[s:e]) for _, s, e in slices], pa.binary()), pa.array([np.packbits(several[s:e]).tobytes() for _, s, e in slices], pa.binary())], ["part", "seg", "hashes", "several"])
 
@@ -211,41 +211,50 @@ def _runs(table: DataFrame, length: int, parts: int) -> DataFrame:
             rows, owner, hashes = rows[first], owner[first], hashes[first]
             zip_ = zstandard.ZstdCompressor(level=3)
             part = (hashes // np.uint64((1 << 64) // parts + 1)).astype(np.int64)
-            for p in np.unique(part).tolist():
-                mine = part == p
+            dealt = np.argsort(part, kind="stable")
+            for s, e in stretches(part[dealt]):
+                mine = dealt[s:e]
                 shared, rest = front_code(rows[mine])
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([row["seg"]], pa.int64()), pa.array([zip_.compress(shared.tobytes())]), pa.array([zip_.compress(rest)]), pa.array([zip_.compress(owner[mine].tobytes())])], ["part", "seg", "shared", "rest", "owner"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(part[mine[0]])], pa.int32()), pa.array([row["seg"]], pa.int64()), pa.array([zip_.compress(shared.tobytes())]), pa.array([zip_.compress(rest)]), pa.array([zip_.compress(owner[mine].tobytes())])], ["part", "seg", "shared", "rest", "owner"])
 
     return table.mapInArrow(run, "part int, seg long, shared binary, rest binary, owner binary")
 
 
-def _windows(rows: np.ndarray, least: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """Bit o of a row: the string that starts o bytes before its anchor starts in a document of a smaller id too."""
-    left = rows.shape[1] - length - 2
+def _shared_prefix(rows: np.ndarray) -> np.ndarray:
+    """Length of the prefix that each row has in common with the one before; 0 for the first."""
+    out = np.zeros(len(rows), np.int64)
+    if len(rows) > 1:
+        other = rows[1:] != rows[:-1]
+        out[1:] = np.where(other.any(1), other.argmax(1), rows.shape[1])
+    return out
+
+
+def _windows(rows: np.ndarray, shared: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+    """Bit o of a row: the string that starts o bytes before its anchor starts in a document of a smaller id too.
+
+    ``rows`` are in merged order and ``shared`` are their common prefixes with the row before. Rows have the same
+    length - o bytes from the anchor on where no prefix between them is shorter; a second order, of the bytes
+    before the anchor read backwards, tells in the same way which have the same o bytes there. Rows that are
+    together in both hold the same string: nothing is hashed or compared again.
+    """
+    left, n = rows.shape[1] - length - 2, len(rows)
     after, before = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
-    text = np.concatenate((rows[:, length : length + left][:, ::-1], rows[:, :length]), 1)
-    base = 0xC2B2AE3D27D4EB4F
-    top = np.uint64(pow(base, length - 1, 1 << 64))
-    one = np.uint64(1)
-    rolled = np.zeros(len(rows), np.uint64)
-    for j in range(length):
-        rolled = rolled * np.uint64(base) + text[:, j] + one
-    bits = np.zeros(len(rows), np.uint64)
-    for s in range(left + 1):
-        if s:
-            rolled = (rolled - (text[:, s - 1] + one) * top) * np.uint64(base) + text[:, s + length - 1] + one
-        o = left - s
+    back = np.ascontiguousarray(rows[:, length : length + left])
+    order = np.argsort(back.view(f"V{left}").ravel(), kind="stable") if left else np.arange(n)
+    behind = _shared_prefix(back[order])
+    bits = np.zeros(n, np.uint64)
+    group = np.zeros(n, np.int64)
+    for o in range(left + 1):
         at = np.flatnonzero((o <= before) & (length - o <= after))
         if not len(at):
             continue
-        h = rolled[at]
-        order = np.lexsort((least[at], h, group[at]))
-        at, h = at[order], h[order]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (group[at][1:] != group[at][:-1])))
-        rep = at[np.flatnonzero(new)][np.cumsum(new) - 1]
-        beaten = least[rep] < least[at]
-        beaten[beaten] = (text[at[beaten], s : s + length] == text[rep[beaten], s : s + length]).all(1)  # verified
-        bits[at[beaten]] |= np.uint64(1 << o)
+        group[order] = np.cumsum(behind < o)
+        same = (np.cumsum(shared < length - o) * (n + 1) + group)[at]
+        by = np.argsort(same, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], same[by][1:] != same[by][:-1])))
+        lowest = np.repeat(np.minimum.reduceat(least[at[by]], starts), np.diff(np.append(starts, len(by))))
+        beaten = at[by[lowest < least[at[by]]]]
+        bits[beaten] |= np.uint64(1 << o)
     return bits
 
 
@@ -258,7 +267,7 @@ def _merge_part(length: int, width: int):
         owners = [np.frombuffer(unzip.decompress(x), np.int64) for x in rows["owner"]]
         gram = min(GRAM_BYTES, length)
         # Numbers and bytes are held packed: a part has hundreds of thousands of rows.
-        run_list, class_list, group_list, contexts = array("q"), array("q"), array("q"), bytearray()
+        run_list, class_list, group_list, prefixes, contexts = array("q"), array("q"), array("q"), array("q"), bytearray()
         group = number = -1
         for run, shared, row in merge_runs(runs, width):
             if shared < width or number < 0:
@@ -266,6 +275,7 @@ def _merge_part(length: int, width: int):
                     group += 1
                 contexts += row
                 group_list.append(group)
+                prefixes.append(shared if number >= 0 else 0)
                 number += 1
             run_list.append(run)
             class_list.append(number)
@@ -280,7 +290,7 @@ def _merge_part(length: int, width: int):
         bits = np.zeros(len(matrix), np.uint64)
         many = np.flatnonzero(np.bincount(groups)[groups] > 1)
         if len(many):
-            bits[many] = _windows(matrix[many], least[many], groups[many], length)
+            bits[many] = _windows(matrix[many], np.array(prefixes, np.int64)[many], least[many], length)
         told = np.flatnonzero((least[class_of] < owner) | (bits[class_of] > 0))
         hashes = row_hashes(matrix)
         out = []
@@ -303,10 +313,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     is larger than any other.
     """
     table = segments(docs, text, key, segment_bytes=segment_bytes)
-    total = table.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    total = text_bytes(table)
     parts = max(LEAST_PARTS, -(-total // PART_BYTES))
     known = cut(_anchor_entries(table, length, parts).repartition(parts, "part").groupBy("part").applyInPandas(_repeated, "seg long, hashes binary"), "anchors")
-    suspects = table.select("seg", "ids", "null_id", "sizes", "body").join(known.groupBy("seg").agg(F.collect_list("hashes").alias("wanted")), "seg")
+    suspects = by_segment(table.select("seg", "ids", "null_id", "sizes", "body"), known.groupBy("seg").agg(F.collect_list("hashes").alias("wanted")), total, "inner")
     width = 2 * length - min(GRAM_BYTES, length) + 2
     merged = cut(_runs(suspects, length, parts).repartition(parts, "part").groupBy("part").applyInPandas(_merge_part(length, width), "seg long, hashes binary, least binary, bits binary"), "contexts")
     discard(known)
@@ -331,7 +341,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
             spans = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(pairs, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([None if z else i for i, z in zip(ids.tolist(), nulls, strict=True)], pa.int64()), pa.array(c.sizes), pa.array(removed), pa.array(runs, pa.int64()), spans, pa.array(kept, pa.binary())], names)
 
-    return table.select("seg", "ids", "null_id", "sizes", "body").join(answers, "seg", "left").mapInArrow(finish, f"`{key}` long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
+    return by_segment(table.select("seg", "ids", "null_id", "sizes", "body"), answers, total).mapInArrow(finish, f"`{key}` long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
 
 
 def _edges(gone: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

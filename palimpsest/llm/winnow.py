@@ -15,6 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shared import cut, strings, tidy
 
@@ -27,16 +28,17 @@ MISSING_ID = (1 << 63) - 1  # the place of a null id: after all others
 SEGMENTS = pa.schema([("seg", pa.int64()), ("ids", pa.list_(pa.int64())), ("null_id", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("body", pa.binary()), ("extra", pa.binary())])
 
 
-def segments(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+def segments(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), segment_bytes: int = SEGMENT_BYTES, call: int = 0, path: str | None = None) -> DataFrame:
     """Rows packed, as they come, to written segments of about ``segment_bytes`` of UTF-8: no shuffle, one compressed body each.
 
     A longer document is a segment of its own. Null text is empty; a null id is flagged and ranks last. The
-    columns named in ``carry`` travel along in Arrow's stream format.
+    columns named in ``carry`` travel along in Arrow's stream format. ``call`` tells segments of several calls apart;
+    ``path`` is where they stay, else they are a table of :func:`cut`.
     """
     carried = [f"c{k}" for k in range(len(carry))]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, n = TaskContext.get().partitionId() << 32, 0
+        base, n = call << 52 | TaskContext.get().partitionId() << 32, 0
         ids, bodies, total, extra = [], [], 0, []
 
         def out() -> pa.RecordBatch:
@@ -66,7 +68,11 @@ def segments(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: tu
         tidy()
 
     chosen = docs.select(docs[key].cast("long").alias("i"), docs[text].alias("t"), *[docs[c].alias(k) for c, k in zip(carry, carried, strict=True)])
-    return cut(chosen.mapInArrow(pack, "seg long, ids array<long>, null_id array<boolean>, sizes array<long>, body binary, extra binary"), "segments")
+    packed = chosen.mapInArrow(pack, "seg long, ids array<long>, null_id array<boolean>, sizes array<long>, body binary, extra binary")
+    if path is None:
+        return cut(packed, "segments")
+    packed.write.parquet(path)
+    return docs.sparkSession.read.schema(packed.schema).parquet(path)
 
 
 def _stream(batches: list[pa.RecordBatch]) -> bytes | None:
@@ -176,11 +182,10 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(d)[:n] > 0
 
 
-def split_parts(values: np.ndarray, parts: int) -> list[tuple[int, int]]:
-    """Slices of a sorted uint64 array that fall to each of ``parts`` equal ranges of hash values."""
-    step = (1 << 64) // parts
-    at = np.searchsorted(values, np.array([step * p for p in range(1, parts)], np.uint64)).tolist() if parts > 1 else []
-    return list(zip([0, *at], [*at, len(values)], strict=True))
+def split_parts(values: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, start, end) of the slices of a sorted uint64 array in ``parts`` equal ranges of hash values; empty ones are left out."""
+    part = np.minimum(values // np.uint64((1 << 64) // parts), np.uint64(parts - 1))
+    return [(int(part[s]), s, e) for s, e in stretches(part)]
 
 
 def stretches(x: np.ndarray) -> list[tuple[int, int]]:
@@ -191,6 +196,17 @@ def stretches(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, at[1:], strict=False))
 
 
+def text_bytes(table: DataFrame) -> int:
+    """UTF-8 bytes of all texts of a table of segments."""
+    return table.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+
+
+def by_segment(table: DataFrame, answers: DataFrame, total: int, how: str = "left") -> DataFrame:
+    """Segments with what was found for them, in tasks of about 32 MB of text."""
+    n = min(1 << 17, max(8, total // (32 << 20)))
+    return table.repartition(n, "seg").join(answers.repartition(n, "seg"), "seg", how)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows one at a time (segments are large); memory is handed back at the end."""
     for b in batches:

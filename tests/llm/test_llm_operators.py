@@ -51,12 +51,28 @@ def test_substring_against_brute_force(docs):
 
 
 def test_log_compacts_to_the_same_answer(docs, monkeypatch):
-    monkeypatch.setattr(substring_dedup.FingerprintLog.__init__, "__defaults__", (1,))
+    monkeypatch.setattr(substring_dedup.FingerprintLog.__init__, "__defaults__", (None, 1))
     a = substring_dedup.remove_repeats(docs, batches=4, segment_bytes=2000).select("doc_id", "n_removed")
     b = substring_dedup.remove_repeats(docs, batches=1).select("doc_id", "n_removed")
     assert sorted(a.collect()) == sorted(b.collect())
 
 
+def test_log_is_taken_up_again_by_its_path(spark, tmp_path):
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(50)]
+    made = [[f"w{rng.randrange(5000)}" for _ in range(60)] for _ in range(30)]
+    made = [r[:20] + passage + r[20:] if i in (3, 17, 25) else r for i, r in enumerate(made)]
+    made[29] = made[2]
+    path, removed = f"file://{tmp_path}/log", {}
+    for part in (range(10), range(10, 20), range(20, 30)):
+        df = spark.createDataFrame([(i, " ".join(made[i])) for i in part], "doc_id long, text string")
+        removed |= {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(df, log_path=path, segment_bytes=900).collect()}
+    # The first text of a passage was alone when it came.
+    assert removed == {i: 50 if i in (17, 25) else 60 if i == 29 else 0 for i in range(30)}
+    log = substring_dedup.FingerprintLog(spark, 1, path)
+    assert log.calls == 3 and log.parts == 8 and 1 <= len(log.runs) <= log.max_runs
+
+
 def test_drop_repeats_keeps_columns_and_untouched_texts(docs):
     before = {r.doc_id: r for r in docs.collect()}
     out = substring_dedup.drop_repeats(docs)
