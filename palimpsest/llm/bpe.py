@@ -24,6 +24,7 @@ from .shared import claim, tidy
 #: Fixed value: the published pattern that splits text before byte-level merges.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _SHORT = 96
+_KEPT = 64  # longer words are not kept in the caches, which thus stay within some 100 MB
 _NEVER = 1 << 60
 
 
@@ -95,9 +96,11 @@ class Codec:
     def _word_text(self, word: str) -> str:
         out = self._texts.get(word)
         if out is None:
-            if len(self._texts) > 250_000:
-                self._texts.clear()
-            out = self._texts[word] = ",".join(map(str, self.encode_word(word.encode("utf-8", "replace"))))
+            out = ",".join(map(str, self.encode_word(word.encode("utf-8", "replace"))))
+            if len(word) <= _KEPT:
+                if len(self._texts) > 250_000:
+                    self._texts.clear()
+                self._texts[word] = out
         return out
 
     def encode_parts(self, text: str | None) -> list[str]:
@@ -129,9 +132,11 @@ class Codec:
         return b"".join([self._decoded.get(p) or self._decode(p) for p in parts]).decode("utf-8", "replace")
 
     def _decode(self, part: str) -> bytes:
-        if len(self._decoded) > 250_000:
-            self._decoded.clear()
-        out = self._decoded[part] = b"".join([self.bytes_of[int(i)] for i in part.split(",")])
+        out = b"".join([self.bytes_of[int(i)] for i in part.split(",")])
+        if len(part) <= 4 * _KEPT:
+            if len(self._decoded) > 250_000:
+                self._decoded.clear()
+            self._decoded[part] = out
         return out
 
     def decode(self, ids: list[int]) -> str:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import tidy
+from .shared import free_name, tidy
 
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -101,20 +101,22 @@ def score_texts(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.n
     return best, prob
 
 
-def fit(docs: DataFrame, eligible: Column | None = None, rows_per_language: int = 4000, bits: int = 16, orders: tuple[int, ...] = (2, 3), alpha: float = 0.5, text: str = "text", label: str = "lang", key: str = "doc_id") -> LanguageModel:
+def fit(docs: DataFrame, eligible: Column | None = None, rows_per_language: int = 4000, bits: int = 16, orders: tuple[int, ...] = (2, 3), alpha: float = 0.5, max_labels: int = 200, text: str = "text", label: str = "lang", key: str = "doc_id") -> LanguageModel:
     """Fit on at most about ``rows_per_language`` rows of each label (documented bound of the sample).
 
+    At most ``max_labels`` labels are learnt, the most frequent ones, so that the matrix has a bounded size.
+
     The sample takes the rows whose hashed key is lowest, the same share of each language's rows. Rows with
     null text or label, or for which ``eligible`` isn't true, are never read for it. With no labelled row the
     model has no label, and every prediction is ``und``.
     """
-    rows = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (eligible if eligible is not None else F.lit(True))).select(F.col(label).alias("y"), F.col(text).alias("t"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)).alias("u"))
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (eligible if eligible is not None else F.lit(True))).select(F.col(label).alias("y"), F.col(text).alias("t"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 62)).alias("u"))
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(max_labels).collect()}
     labels = tuple(sorted(sizes))
     dim, index = 1 << bits, {y: k for k, y in enumerate(labels)}
     if not labels:
         return LanguageModel((), np.zeros((dim, 0), np.float32), np.zeros(0), bits, orders)
-    share = F.create_map(*[x for y, n in sizes.items() for x in (F.lit(y), F.lit(min(1_000_000, 1_000_000 * rows_per_language // n + 1)))])
+    share = F.create_map(*[x for y, n in sizes.items() for x in (F.lit(y), F.lit(min(1 << 62, (1 << 62) * rows_per_language // n + 1)))])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((len(labels), dim), np.int64)
@@ -126,7 +128,7 @@ def fit(docs: DataFrame, eligible: Column | None = None, rows_per_language: int
         yield pd.DataFrame({"y": range(len(labels)), "v": [s.tobytes() for s in sums.astype("<i8")]})
 
     # The sample is bounded, so a few tasks add up its counts; each sends one vector per language.
-    parts = rows.where(F.col("u") < F.element_at(share, F.col("y"))).select("y", "t").repartition(6).mapInPandas(count, "y int, v binary")
+    parts = rows.where(F.col("u") < F.try_element_at(share, F.col("y"))).select("y", "t").repartition(6).mapInPandas(count, "y int, v binary")
     sums = np.zeros((len(labels), dim), np.float64)
     for r in parts.toLocalIterator():
         sums[r["y"]] += np.frombuffer(r["v"], "<i8")
@@ -153,5 +155,6 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", label_as
             yield pd.DataFrame({"label": labels, "score": np.clip(scores, 0, 1)})
         tidy()
 
-    got = docs.withColumn("__language", predict.asNondeterministic()(F.col(text)))
-    return got.withColumn(label_as, F.col("__language.label")).withColumn(score_as, F.col("__language.score")).drop("__language")
+    name = free_name(docs, "__language")
+    got = docs.withColumn(name, predict.asNondeterministic()(F.col(text)))
+    return got.withColumns({label_as: F.col(f"{name}.label"), score_as: F.col(f"{name}.score")}).drop(name)

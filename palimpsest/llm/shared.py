@@ -85,6 +85,14 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def strings(column) -> list[str]:
     """Values of a text column; null counts as the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -26,9 +26,11 @@ _SPACE = 1 << 48
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word) >> 1
+        h = xxhash.xxh64_intdigest(word) >> 1
+        if len(word) <= 64:  # longer words are rare or junk
+            if len(self) > 250_000:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -104,7 +106,7 @@ def _in_order(docs: DataFrame, text: str, key: str, range_chars: int) -> Neighbo
     """One shuffle of compressed texts into id ranges of about ``range_chars``; a range's first document goes to
     the range before it too (to the last range, for the first of all), so that no range waits for another."""
     sizes = docs.agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars"), F.min(key).alias("first")).first()
-    ranges = max(1, (sizes["chars"] or 0) // range_chars)
+    ranges = max(1, min(1 << 15, (sizes["chars"] or 0) // range_chars))  # so that the bounds stay few; a larger range is streamed
     bounds = [sizes["first"]]
     if ranges > 1 and bounds[0] is not None:
         shares = [i / ranges for i in range(1, ranges)]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, packing, simhash, substring_dedup, toxicity
-from .shared import cut, discard
+from .shared import cut, discard, free_name
 
 MIN_LANGUAGE_SCORE = 0.5
 TOXIC_FROM = 0.7
@@ -22,8 +22,9 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     An empty table gives an empty table.
     """
     model = language_id.fit(docs)
-    marked = language_id.identify(docs, model, label_as="__lang_pred", score_as="__lang_score")
-    return marked.where((F.col("__lang_pred") != language_id.UNKNOWN) & (F.col("__lang_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    label, score = free_name(docs, "__lang_pred"), free_name(docs, "__lang_score")
+    marked = language_id.identify(docs, model, label_as=label, score_as=score)
+    return marked.where((F.col(label) != language_id.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,8 @@ def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels nothing is learnt and every row stays.
     """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, score_as="__toxicity").where(F.col("__toxicity") < TOXIC_FROM).select(*docs.columns)
+    name = free_name(docs, "__toxicity")
+    return toxicity.score(docs, model, score_as=name).where(F.col(name) < TOXIC_FROM).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

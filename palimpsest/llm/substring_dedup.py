@@ -34,9 +34,11 @@ class _WordHashes(dict):
     """Word -> hash, kept until there are many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word) >> 1
+        h = xxhash.xxh64_intdigest(word) >> 1
+        if len(word) <= 64:  # longer words are rare or junk
+            if len(self) > 250_000:
+                self.clear()
+            self[word] = h
         return h
 
 

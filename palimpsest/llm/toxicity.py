@@ -236,6 +236,8 @@ def text_features(model: ToxicityModel, texts: list[str | None], cache: dict) ->
         elif len(m):
             row[0] = m[0]
     out[:, :2] = np.clip(out[:, :2], _LOWEST, _HIGHEST)
+    for w in {w for s in sets for w in s if len(w) > 64}:  # not worth their room
+        cache.pop(w, None)
     return out
 
 
@@ -254,23 +256,25 @@ def _highest_spans(model: ToxicityModel, text: str | None, cache: dict) -> list[
     return best
 
 
-def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, max_rows: int = 16_000, landmarks: int = 240, max_words: int = 400, text: str = "text", key: str = "doc_id", target: str = "toxic") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, max_rows: int = 16_000, landmarks: int = 240, max_words: int = 400, clean_words: int = 2500, letters: tuple[int, int] = (3, 24), text: str = "text", key: str = "doc_id", target: str = "toxic") -> ToxicityModel:
     """Learn from at most about ``max_rows`` labelled rows (the documented bound: those of lowest hashed key).
 
     Rows of ``labels`` with a null key or label, or for which ``eligible`` isn't true, are never used. A span
     is a positive example of the first round if at least three toxic sample texts and hardly a clean one hold it, more than chance allows
-    (the ``max_words`` best supported ones). Without any such span nothing is learnt and every score is 0.
+    (the ``max_words`` best supported ones, of ``letters[0]`` to ``letters[1]`` characters), and ``clean_words`` of those that
+    clean texts hold, by hash, are the negative ones. Of the rounds after it every span of the sample's texts can be
+    an example, of any length: the two highest of each text. Without any such span nothing is learnt and every score is 0.
     """
     spark = docs.sparkSession
     own = labels.where(F.col(target).isNotNull() & F.col(key).isNotNull() & (eligible if eligible is not None else F.lit(True))).select(F.col(key).alias("k"), (F.col(target) > 0).alias("y")).distinct()
     n = own.count()
-    sample = own.where(F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1_000_000)) < 1_000_000 * max_rows // max(n, 1) + 1)
+    sample = own.where(F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 62)) < min(1 << 62, (1 << 62) * max_rows // max(n, 1) + 1))
     # The sample is bounded by max_rows, so it may be broadcast and its texts' words counted at once.
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(sample), "k")
 
     def words(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in (b[k : k + 200] for b in blocks for k in range(0, len(b), 200)):
-            out = [(w, bool(y)) for t, y in zip(block.t, block.y, strict=True) for w in _different(t) if 3 <= len(w) <= 24]
+            out = [(w, bool(y)) for t, y in zip(block.t, block.y, strict=True) for w in _different(t) if letters[0] <= len(w) <= letters[1]]
             yield pd.DataFrame(out, columns=["w", "y"])
 
     counted = rows.mapInPandas(words, "w string, y boolean").groupBy("w").agg(F.count_if("y").alias("n1"), F.count_if(~F.col("y")).alias("n0")).where("n1 + n0 >= 3").persist()
@@ -278,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, max_
     held = counted.count()
     ranked = [(r["w"], r["n1"], r["n0"]) for r in counted.where("n1 >= 3 and n0 <= 0.1 * n1").orderBy(F.desc("n1"), "w").limit(max_words).collect()]
     toxic = _beyond_chance(ranked, rate, held)
-    clean = [r["w"] for r in counted.where("n0 >= 3 and n1 <= 0.4 * n0").orderBy(F.xxhash64("w"), "w").limit(2500).collect()]
+    clean = [r["w"] for r in counted.where("n0 >= 3 and n1 <= 0.4 * n0").orderBy(F.xxhash64("w"), "w").limit(clean_words).collect()]
     counted.unpersist()
     if not toxic or not clean:
         return ToxicityModel(None, 0.0)
