@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, tidy
+from .shared import claim, free_name, tidy
 
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -146,6 +146,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", label_as
 
     @F.pandas_udf("label string, score double")
     def predict(blocks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("language_id")
         for block in blocks:
             texts = [x or "" for x in block]
             if known.value.labels:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut, scratch, tidy, units_of
+from .shared import claim, cut, scratch, tidy, units_of
 from .winnow import mixed
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -65,6 +65,7 @@ def fingerprint_column(text: str = "text", shingle: int = 3):
 
     @F.pandas_udf("long")
     def of(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("simhash")
         for block in blocks:
             yield pd.Series(np.fromiter((simhash(x, shingle) for x in block), np.uint64, len(block)).astype(np.int64))
         tidy()
@@ -177,15 +178,44 @@ def _frequent(docs: DataFrame, text: str, key: str, shingle: int, sample: int =
     return h[order], len(rows) - order
 
 
+_MINIMA = 64
+_FACTORS = np.random.default_rng(41).integers(1, 1 << 62, _MINIMA, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _minima(u: np.ndarray) -> bytes:
+    """64 bytes of minimum hashes of a set of shingle hashes: two sets agree on a byte with their Jaccard similarity or a bit more."""
+    out = np.full(_MINIMA, np.iinfo(np.uint64).max)
+    for at in range(0, len(u), 4096):
+        out = np.minimum(out, (mixed(u[at : at + 4096])[:, None] * _FACTORS).min(0))
+    return (mixed(out) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def _least_alike(similarity: float) -> float:
+    """Of the minimum hashes of two sets at ``similarity``, how many agree at least: five deviations under the mean."""
+    return _MINIMA * similarity - 5 * math.sqrt(_MINIMA * similarity * (1 - similarity))
+
+
+def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b, x, y) whose minima x and y agree often enough."""
+    least = _least_alike(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, _MINIMA) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def _parts(text: str, shingle: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]):
-    """Column of a text's print, its set of shingles as one hash, that set's size, and its prefix.
+    """Column of a text's print, its set of shingles as one hash, that set's size, its minimum hashes, and its prefix.
 
     Two sets at Jaccard ``similarity`` or more share a shingle of their prefixes, the first ``n - ceil(similarity * n)
     + 1`` in one order of all shingles: by hash, with the frequent ones last.
     """
     known, ranks = frequent
 
-    def one(x: str | None) -> tuple[int, int, int, np.ndarray]:
+    def one(x: str | None) -> tuple[int, int, int, bytes, np.ndarray]:
         h = shingle_hashes(x, shingle)
         u = np.unique(h)
         n = len(u)
@@ -196,12 +226,13 @@ def _parts(text: str, shingle: int, similarity: float, frequent: tuple[np.ndarra
             often = known[at] == u
             prefix = np.concatenate((u[~often], u[often][np.argsort(ranks[at[often]], kind="stable")]))
         whole = xxhash.xxh64_intdigest(u.tobytes(), 7)
-        return _to_long(_print_of(h) if n else 0), _to_long(whole), n, prefix[:length].view(np.int64)
+        return _to_long(_print_of(h) if n else 0), _to_long(whole), n, _minima(u), prefix[:length].view(np.int64)
 
-    @F.pandas_udf("fp long, node long, n int, prefix array<long>")
+    @F.pandas_udf("fp long, node long, n int, minima binary, prefix array<long>")
     def of(blocks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("simhash")
         for block in blocks:
-            yield pd.DataFrame([one(x) for x in block], columns=["fp", "node", "n", "prefix"])
+            yield pd.DataFrame([one(x) for x in block], columns=["fp", "node", "n", "minima", "prefix"])
         tidy()
 
     return of.asNondeterministic()(F.col(text))
@@ -252,18 +283,6 @@ def _neighbours(rows: DataFrame, similarity: float, reach: int) -> DataFrame:
     return rows.select(*cols).repartitionByRange(*cols).sortWithinPartitions(*cols).mapInArrow(run, "a long, b long").distinct()
 
 
-_MINIMA = 128
-_FACTORS = np.random.default_rng(41).integers(1, 1 << 62, _MINIMA, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _minima(u: np.ndarray) -> bytes:
-    """128 bytes of minimum hashes of a set of shingle hashes: two sets agree on a byte with their Jaccard similarity or a bit more."""
-    out = np.full(_MINIMA, np.iinfo(np.uint64).max)
-    for at in range(0, len(u), 4096):
-        out = np.minimum(out, (mixed(u[at : at + 4096])[:, None] * _FACTORS).min(0))
-    return (mixed(out) >> np.uint64(56)).astype(np.uint8).tobytes()
-
-
 def _across(rows: DataFrame, similarity: float, block: int) -> DataFrame:
     """``(a, b)``: of rows (shingle, n, node, component, minima), those of one shingle and different components that can be similar.
 
@@ -280,7 +299,7 @@ def _across(rows: DataFrame, similarity: float, block: int) -> DataFrame:
     every = known.withColumn("q", F.pmod(own, "many")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("few") - 1))).withColumn("side", F.lit(1))
     rest = ["side", "n", "node", "component", "minima"]
     units = odd.select(*[F.col(c).cast("long") for c in cols], *rest).unionByName(every.select(*[F.col(c).cast("long") for c in cols], *rest))
-    least = _MINIMA * similarity - 5 * math.sqrt(_MINIMA * similarity * (1 - similarity))
+    least = _least_alike(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in units_of(batches):
@@ -303,19 +322,21 @@ def keep_one_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", s
 
     At such a similarity a SimHash of 64 bits differs in too many bits to be looked up, so candidates are prints within
     ``radius`` bits and, for the rest, texts that share a shingle of their prefixes, which misses no pair. Every
-    candidate is verified on the whole sets. Up to ``small`` texts of a shingle are paired; more are first linked in a
+    candidate whose minimum hashes allow it is verified on the whole sets. Up to ``small`` texts of a shingle are paired; more are first linked in a
     chain by size, and then those that this did not put into one group are compared with all of the shingle, in
-    blocks, by 128 minimum hashes five deviations under the similarity (one pair in a million at the very similarity
+    blocks, by 64 minimum hashes five deviations under the similarity (one pair in a million at the very similarity
     is missed). Equal sets are one node. Rows with equal or null keys are treated as in :func:`keep_one`, null and
     empty texts are copies of each other, other columns are not read, and an empty table gives an empty one.
     """
     with scratch():
         named = docs.where(F.col(key).isNotNull())
         parts = _parts(text, shingle, similarity, _frequent(named, text, key, shingle))
-        marked = cut(named.select(F.col(key).alias("__key"), parts.alias("p")).select("__key", "p.*"), "similar")
-        nodes = cut(marked.groupBy("node").agg(F.min("__key").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n")), "similar-nodes")
-        reps = nodes.select("node", F.col("least").alias("__key"))
-        keyed = marked.join(reps, ["node", "__key"], "left_semi").dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("shingle"))
+        marked = cut(named.select(F.col(key).alias("__key"), F.xxhash64(text).alias("body"), parts.alias("p")).select("__key", "body", "p.*"), "similar")
+        nodes = cut(marked.groupBy("node").agg(F.min(F.struct("__key", "body")).alias("first"), F.min("fp").alias("fp")).select("node", "first.*", "fp"), "similar-nodes")
+        reps = nodes.select("node", "__key", "body")
+        own = marked.join(reps, ["node", "__key", "body"], "left_semi").dropDuplicates(["node"])
+        minima = cut(own.select("node", "minima"), "similar-minima")
+        keyed = own.select("node", "n", F.explode("prefix").alias("shingle"))
         counts = keyed.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
         shared = cut(keyed.join(counts, "shingle"), "similar-shingles")
         lists = shared.where(F.col("c") <= small).groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("f"))
@@ -327,14 +348,13 @@ def keep_one_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", s
         often = shared.where(F.col("c") > small).select("shingle", "n", "node")
         pairs = cut(by_prefix.unionByName(by_print).unionByName(_neighbours(often, similarity, reach)).distinct(), "similar-pairs")
 
-        def text_of(wanted: DataFrame) -> DataFrame:
-            found = named.select(F.col(key).alias("__key"), F.col(text).alias("t")).join(reps.join(wanted, "node", "left_semi"), "__key")
-            same = _parts("t", shingle, similarity, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))  # of rows with one key, the node's
-            return found.select("node", "t", same["node"].alias("own")).where("own = node").dropDuplicates(["node"]).select("node", "t")
-
         def verified(pairs: DataFrame) -> DataFrame:
-            texts = cut(text_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "similar-texts")
-            both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+            x, y = (minima.select(F.col("node").alias(c), F.col("minima").alias(m)) for c, m in (("a", "x"), ("b", "y")))
+            alike = cut(_alike(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), similarity), "similar-alike")
+            wanted = reps.join(alike.select(F.col("a").alias("node")).union(alike.select("b")).distinct(), "node", "left_semi")
+            found = named.select(F.col(key).alias("__key"), F.xxhash64(text).alias("body"), F.col(text).alias("t")).join(wanted, ["__key", "body"])
+            texts = cut(found.dropDuplicates(["node"]).select("node", "t"), "similar-texts")
+            both = alike.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
             return cut(both.where(_resemble(F.col("ta"), F.col("tb"), shingle, similarity)).select("a", "b"), "similar-links")
 
         links = verified(pairs)
@@ -344,12 +364,10 @@ def keep_one_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", s
             split = placed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
             open_ = cut(placed.join(split, "shingle", "left_semi"), "similar-open")
             if open_.limit(1).count():
-                of = F.pandas_udf(lambda block: pd.Series([_minima(np.unique(shingle_hashes(x, shingle))) for x in block]), "binary")
-                minima = cut(text_of(open_.select("node").distinct()).select("node", of(F.col("t")).alias("minima")), "similar-minima")
                 more = cut(_across(open_.join(minima, "node"), similarity, block).join(pairs, ["a", "b"], "left_anti"), "similar-pairs")
                 links = links.unionByName(verified(more))
         linked = connected_components(links)
-        groups = nodes.select("node", "least").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        groups = nodes.select("node", F.col("__key").alias("least")).join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
         smallest = cut(groups.groupBy("component").agg(F.min("least").alias("__rep")).select("__rep").distinct(), "similar-kept", keep=True)
     kept = docs.join(smallest, docs[key] == smallest["__rep"], "left_semi")
     return kept.unionByName(docs.where(F.col(key).isNull()))
