@@ -258,29 +258,58 @@ def _resemble(a, b, shingle: int, similarity: float):
     return of.asNondeterministic()(a, b)
 
 
-def _neighbours(rows: DataFrame, similarity: float, reach: int) -> DataFrame:
-    """``(a, b)`` of each row of (shingle, n, node) with the next ``reach`` of its shingle by size: a chain through every group.
+def _of_one_shingle(rows: DataFrame, similarity: float, small: int, reach: int) -> DataFrame:
+    """Of rows (shingle, n, node): candidate pairs ``(shingle null, n null, a, b)``, and the rows ``(shingle, n, node, null)`` of large groups.
 
-    Rows are dealt by range, so that a shingle of very many texts is many tasks' work.
+    One shuffle by ranges of (shingle, n, node), so that a shingle of very many texts is many tasks' work. Up to
+    ``small`` rows of a shingle are paired; more, and those at a range's ends, which may go on in the next one,
+    are chained to the next ``reach`` by size and given back as rows.
     """
     cols = ["shingle", "n", "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            s, n, node = (np.asarray(b.column(k)) for k in range(3))
-            if last is not None:
-                s, n, node = (np.concatenate(x) for x in zip(last, (s, n, node), strict=True))
-            a, c = [], []
-            for k in range(1, min(reach, len(s) - 1) + 1):
-                fit = (s[k:] == s[:-k]) & (n[:-k] >= similarity * n[k:] - 1e-9)
-                a.append(np.minimum(node[:-k], node[k:])[fit])
-                c.append(np.maximum(node[:-k], node[k:])[fit])
-            last = (s[-reach:], n[-reach:], node[-reach:])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(c))], ["a", "b"])
-
-    return rows.select(*cols).repartitionByRange(*cols).sortWithinPartitions(*cols).mapInArrow(run, "a long, b long").distinct()
+        held = tuple(np.zeros(0, np.int64) for _ in cols)  # the rows of the last shingle so far, or its last ones
+        state = 1  # of the held rows: 0 a group that may be small, 1 one at the range's start, 2 a large one whose held rows are told
+
+        def tell(s: np.ndarray, n: np.ndarray, node: np.ndarray, state: int, last: bool, told: int) -> pa.RecordBatch:
+            new = np.concatenate(([True], s[1:] != s[:-1]))
+            group = np.cumsum(new) - 1
+            size = np.bincount(group)
+            large = size > small
+            large[0] |= state > 0
+            large[-1] |= last
+            pairs = []
+            for k in range(1, min(small, len(s))):
+                fit = (group[k:] == group[:-k]) & (n[:-k] >= similarity * n[k:] - 1e-9) & (node[k:] != node[:-k])
+                if k > reach:
+                    fit &= ~large[group[k:]]
+                at = np.flatnonzero(fit)
+                at = at[at + k >= told]
+                pairs.append((np.minimum(node[at], node[at + k]), np.maximum(node[at], node[at + k])))
+            a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
+            rest = np.flatnonzero(large[group])
+            rest = rest[rest >= told]
+            none = pa.nulls(len(a), pa.int64())
+            columns = [pa.concat_arrays([none, pa.array(s[rest])]), pa.concat_arrays([none, pa.array(n[rest], pa.int64())]), pa.array(np.concatenate((a, node[rest]))), pa.concat_arrays([pa.array(b), pa.nulls(len(rest), pa.int64())])]
+            return pa.RecordBatch.from_arrays(columns, ["shingle", "n", "a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            told = len(held[0]) if state == 2 else 0
+            s, n, node = (np.concatenate((h, np.asarray(batch.column(k)))) for k, h in enumerate(held))
+            start = int(np.searchsorted(s, s[-1]))  # of the last shingle
+            if start:
+                yield tell(s[:start], n[:start], node[:start], state, False, told)
+                s, n, node, state, told = s[start:], n[start:], node[start:], 0, 0
+            if len(s) > small:
+                yield tell(s, n, node, 2, False, told)
+                s, n, node, state = s[-reach:], n[-reach:], node[-reach:], 2
+            held = s, n, node
+        if len(held[0]):
+            yield tell(*held, state, True, len(held[0]) if state == 2 else 0)
+
+    return rows.select("shingle", F.col("n").cast("long").alias("n"), "node").repartitionByRange(*cols).sortWithinPartitions(*cols).mapInArrow(run, "shingle long, n long, a long, b long")
 
 
 def _across(rows: DataFrame, similarity: float, block: int) -> DataFrame:
@@ -334,24 +363,23 @@ def keep_one_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", s
         marked = cut(named.select(F.col(key).alias("__key"), F.xxhash64(text).alias("body"), parts.alias("p")).select("__key", "body", "p.*"), "similar")
         nodes = cut(marked.groupBy("node").agg(F.min(F.struct("__key", "body")).alias("first"), F.min("fp").alias("fp")).select("node", "first.*", "fp"), "similar-nodes")
         reps = nodes.select("node", "__key", "body")
-        own = marked.join(reps, ["node", "__key", "body"], "left_semi").dropDuplicates(["node"])
-        minima = cut(own.select("node", "minima"), "similar-minima")
-        keyed = own.select("node", "n", F.explode("prefix").alias("shingle"))
-        counts = keyed.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
-        shared = cut(keyed.join(counts, "shingle"), "similar-shingles")
-        lists = shared.where(F.col("c") <= small).groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("f"))
-        by_prefix = lists.select(F.explode(F.expr(f"flatten(transform(f, (x, i) -> transform(filter(slice(f, i + 2, size(f)), y -> x.n >= {similarity} * y.n - 1e-9), y -> struct(least(x.node, y.node) as a, greatest(x.node, y.node) as b))))")).alias("p")).select("p.a", "p.b")
+        own = marked.join(reps, ["node", "__key", "body"], "left_semi")  # a row twice where its key and text are
+        minima = cut(own.select("node", "minima").distinct(), "similar-minima")
+        shared = cut(_of_one_shingle(own.select("node", "n", F.explode("prefix").alias("shingle")), similarity, small, reach), "similar-shingles")
+        by_prefix = shared.where("b is not null").select("a", "b")
         of_print = nodes.groupBy("fp").agg(F.min("node").alias("first"))
         prints = near_pairs(of_print.select("fp"), radius)
         left, right = (of_print.select(F.col("fp").alias(c), F.col("first").alias(f"n{c}")) for c in "ab")
         by_print = prints.join(left, "a").join(right, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
-        often = shared.where(F.col("c") > small).select("shingle", "n", "node")
-        pairs = cut(by_prefix.unionByName(by_print).unionByName(_neighbours(often, similarity, reach)).distinct(), "similar-pairs")
+        often = shared.where("b is null").select("shingle", "n", F.col("a").alias("node"))
+        pairs = cut(by_prefix.unionByName(by_print).distinct(), "similar-pairs")
 
         def verified(pairs: DataFrame) -> DataFrame:
             x, y = (minima.select(F.col("node").alias(c), F.col("minima").alias(m)) for c, m in (("a", "x"), ("b", "y")))
             alike = cut(_alike(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), similarity), "similar-alike")
-            wanted = reps.join(alike.select(F.col("a").alias("node")).union(alike.select("b")).distinct(), "node", "left_semi")
+            wanted = cut(reps.join(alike.select(F.col("a").alias("node")).union(alike.select("b")).distinct(), "node", "left_semi"), "similar-wanted")
+            if wanted.count() <= 500_000:  # 24 bytes each; more go through a shuffle of the texts
+                wanted = F.broadcast(wanted)
             found = named.select(F.col(key).alias("__key"), F.xxhash64(text).alias("body"), F.col(text).alias("t")).join(wanted, ["__key", "body"])
             texts = cut(found.dropDuplicates(["node"]).select("node", "t"), "similar-texts")
             both = alike.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
