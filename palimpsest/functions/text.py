@@ -72,6 +72,11 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(_col(text), r"\s+"), lambda x: F.length(x) > 0)
 
 
+def once(value: Column, then) -> Column:
+    """``then`` of a value that is computed once per row, however often ``then`` uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def chunks_sized(w: Column, size: int, step: int, least: int) -> Column:
     """(start, words) of windows that hold at least ``least`` words, starts every ``step``."""
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(step)), lambda s: F.least(F.lit(size), F.size(w) - s) >= least)
@@ -80,19 +85,22 @@ def chunks_sized(w: Column, size: int, step: int, least: int) -> Column:
 
 def chunks_query(text: Column | str, size: int = 200, overlap: float = 0.5, least: int = 50) -> Column:
     """Query side: a text of up to ``size`` words is one chunk as it stands; else windows until one is short."""
-    w = words(text)
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.size(w).alias("n_words"), _col(text).alias("chunk")))
-    return F.when(F.size(w) <= size, whole).otherwise(chunks_sized(w, size, int(size * (1 - overlap)), least))
+
+    def cut(w: Column) -> Column:
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.size(w).alias("n_words"), _col(text).alias("chunk")))
+        return F.when(F.size(w) <= size, whole).otherwise(chunks_sized(w, size, int(size * (1 - overlap)), least))
+
+    return once(words(text), cut)
 
 
 def chunks_index(text: Column | str) -> Column:
     """Index side: 200 words every 100, each of at least 100."""
-    return chunks_sized(words(text), 200, 100, 100)
+    return once(words(text), lambda w: chunks_sized(w, 200, 100, 100))
 
 
 def chunks_bulk(text: Column | str) -> Column:
     """Bulk script: 512 words every 462, each of at least 50."""
-    return chunks_sized(words(text), 512, 462, 50)
+    return once(words(text), lambda w: chunks_sized(w, 512, 462, 50))
 
 
 def paper_id(server: Column, doi: Column) -> Column:
@@ -121,8 +129,13 @@ def id_kind(x: Column) -> Column:
 
 
 def doi_from_paper_id(paper: Column) -> Column:
-    """Back to a DOI; underscores become dots (lossy for legacy suffixes)."""
-    return F.concat(F.lit("10.1101/"), F.regexp_replace(F.regexp_replace(paper, r"^[^_]*_", ""), "_", "."))
+    """Back to a DOI; underscores become dots (lossy for legacy suffixes), parts after the fourth are dropped."""
+    return F.concat(F.lit("10.1101/"), F.array_join(F.slice(F.split(F.regexp_replace(paper, r"^[^_]*_", ""), "_"), 1, 4), "."))
+
+
+def short_digest(x: Column) -> Column:
+    """The first eight hexadecimal digits of the MD5 of bytes or text: ids of tables and images without one."""
+    return F.substring(F.md5(x), 1, 8)
 
 
 def doi_date(doi: Column) -> Column:

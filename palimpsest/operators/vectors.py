@@ -75,3 +75,19 @@ def payload_filter(**conditions) -> Column:
     for name, value in conditions.items():
         out = out & (F.col(name).isin(list(value)) if isinstance(value, (list, tuple, set)) else F.col(name) == F.lit(value))
     return out
+
+
+def upsert(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """``existing`` with the points of ``batch`` added or in place of those of the same key; columns are by name."""
+    return existing.join(batch.select(key), key, "left_anti").unionByName(batch)
+
+
+def delete(points: DataFrame, which: Column) -> DataFrame:
+    """Points for which ``which`` isn't true."""
+    return points.where(~F.coalesce(which, F.lit(False)))
+
+
+def points(stored: DataFrame, wanted: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Each wanted key with whether it is stored, and its columns."""
+    own = stored.select(key, *columns, F.lit(True).alias("there"))
+    return wanted.join(own, key, "left").withColumn("there", F.coalesce("there", F.lit(False))).select(key, "there", *columns)

@@ -60,11 +60,40 @@ def by_status(papers: DataFrame, status: str | None) -> DataFrame:
 
 
 def worklist(papers: DataFrame, step: str, limit: int, mode: str = "all", date: str = "date", key: str = "doi") -> DataFrame:
-    """Next rows for a step, newest first, rows without a date before them; unknown modes mean text."""
-    rule = {"download": "NOT pdf_downloaded", "extract": "pdf_downloaded AND NOT content_extracted", "embed": f"content_extracted AND {EMBED_MODES.get(mode, EMBED_MODES['text'])}"}[step]
+    """Next rows for a step, newest first, rows without a date before them; unknown modes mean text, unknown steps no filter."""
+    rule = {"download": "NOT pdf_downloaded", "extract": "pdf_downloaded AND NOT content_extracted", "embed": f"content_extracted AND {EMBED_MODES.get(mode, EMBED_MODES['text'])}"}.get(step, "true")
     return papers.where(rule).orderBy(F.desc_nulls_first(date), key).limit(limit)
 
 
+def unprocessed(papers: DataFrame, step: str, category: str | None, limit: int, key: str = "doi") -> DataFrame:
+    """Rows that a step has not been done for, of a category in whatever case; an unknown step filters nothing.
+
+    The order is by key, so that the limit is the same in every run.
+    """
+    rule = {"download": "NOT pdf_downloaded", "extract": "NOT content_extracted", "embed": "NOT text_embedded"}.get(step, "true")
+    rows = papers.where(rule)
+    return (rows if category is None else rows.where(matches_category(F.col("category"), category, "equals"))).orderBy(key).limit(limit)
+
+
+def id_variants(x: Column) -> Column:
+    """The spellings under which an id may be stored, the likeliest first: as it is, after the slash, with _ for / and ., with _ for /, lower case."""
+    return F.array(x, F.element_at(F.split(x, "/"), -1), F.regexp_replace(x, r"[./]", "_"), F.regexp_replace(x, "/", "_"), F.lower(x))
+
+
+def lookup(wanted: DataFrame, stored: DataFrame, fields: list[str], most: int = 100) -> DataFrame:
+    """``wanted(id)`` with the first (spelling, field) that ``stored`` has, and how many rows it has there (at most ``most``).
+
+    Spellings are tried before fields. Ids that are nowhere are left out.
+    """
+    tries = wanted.select("id", F.posexplode(id_variants(F.col("id"))).alias("spelling", "value"))
+    held = None
+    for k, f in enumerate(fields):
+        own = stored.select(F.col(f).cast("string").alias("value")).groupBy("value").agg(F.count("*").alias("n")).withColumn("field", F.lit(k))
+        held = own if held is None else held.unionByName(own)
+    hit = tries.join(held, "value").groupBy("id").agg(F.min(F.struct("spelling", "field", "n")).alias("h"))
+    return hit.select("id", "h.spelling", "h.field", F.least("h.n", F.lit(most)).alias("n"))
+
+
 def matches_category(category: Column, wanted: str, how: str = "contains") -> Column:
     c, w = F.lower(category), wanted.lower()
     return {"exact": category == F.lit(wanted), "equals": c == F.lit(w), "contains": c.contains(w)}[how]

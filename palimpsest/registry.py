@@ -558,8 +558,12 @@ def image_combined(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from palimpsest import registry_detect  # noqa: F401  (registers its queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from palimpsest import registry_detect  # noqa: F401
+
     return dict(_SQL)
