@@ -312,11 +312,12 @@ def _of_one_shingle(rows: DataFrame, similarity: float, small: int, reach: int)
     return rows.select("shingle", F.col("n").cast("long").alias("n"), "node").repartitionByRange(*cols).sortWithinPartitions(*cols).mapInArrow(run, "shingle long, n long, a long, b long")
 
 
-def _across(rows: DataFrame, similarity: float, block: int) -> DataFrame:
+def _across(rows: DataFrame, similarity: float, block: int, best: int | None) -> DataFrame:
     """``(a, b)``: of rows (shingle, n, node, component, minima), those of one shingle and different components that can be similar.
 
     The largest component of a shingle is left to itself; every other row is compared with all rows of its shingle,
-    block by block, by minima, at five deviations under the similarity.
+    block by block, by minima, at five deviations under the similarity. With ``best``, only so many of a row's
+    likeliest partners in a block are given, for a first turn that joins most of a large group.
     """
     per = rows.groupBy("shingle", "component").agg(F.count("*").alias("c"))
     groups = per.groupBy("shingle").agg(F.sum("c").alias("all"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most")).where("all > most")
@@ -337,11 +338,19 @@ def _across(rows: DataFrame, similarity: float, block: int) -> DataFrame:
             x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if len(x) and len(y):
                 fit = (component[x][:, None] != component[y][None, :]) & (np.minimum(n[x][:, None], n[y][None, :]) >= similarity * np.maximum(n[x][:, None], n[y][None, :]) - 1e-9)
-                i, j = np.nonzero(fit)
-                for at in range(0, len(i), 1 << 16):
-                    s, t = x[i[at : at + (1 << 16)]], y[j[at : at + (1 << 16)]]
-                    like = (minima[s] == minima[t]).sum(1) >= least
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[s], node[t])[like]), pa.array(np.maximum(node[s], node[t])[like])], ["a", "b"])
+                for k in range(0, len(x), 32):
+                    i, j = np.nonzero(fit[k : k + 32])
+                    alike = (minima[x[k + i]] == minima[y[j]]).sum(1)
+                    like = alike >= least
+                    i, j, alike = i[like], j[like], alike[like]
+                    if best is not None and len(i):
+                        order = np.lexsort((j, -alike, i))
+                        i, j = i[order], j[order]
+                        first = np.concatenate(([True], i[1:] != i[:-1]))
+                        place = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
+                        i, j = i[place < best], j[place < best]
+                    s, t = node[x[k + i]], node[y[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t))], ["a", "b"])
 
     return units.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(run, "a long, b long").distinct()
 
@@ -352,8 +361,8 @@ def keep_one_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", s
     At such a similarity a SimHash of 64 bits differs in too many bits to be looked up, so candidates are prints within
     ``radius`` bits and, for the rest, texts that share a shingle of their prefixes, which misses no pair. Every
     candidate whose minimum hashes allow it is verified on the whole sets. Up to ``small`` texts of a shingle are paired; more are first linked in a
-    chain by size, and then those that this did not put into one group are compared with all of the shingle, in
-    blocks, by 64 minimum hashes five deviations under the similarity (one pair in a million at the very similarity
+    chain by size, then with the likeliest partners of each, and what this did not put into one group is compared
+    with all of the shingle, in blocks, by 64 minimum hashes five deviations under the similarity (one pair in a million at the very similarity
     is missed). Equal sets are one node. Rows with equal or null keys are treated as in :func:`keep_one`, null and
     empty texts are copies of each other, other columns are not read, and an empty table gives an empty one.
     """
@@ -386,14 +395,16 @@ def keep_one_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", s
             return cut(both.where(_resemble(F.col("ta"), F.col("tb"), shingle, similarity)).select("a", "b"), "similar-links")
 
         links = verified(pairs)
-        if often.limit(1).count():
+        for best in (8, None) if often.limit(1).count() else ():  # likely partners first: what they join needs no comparison
             so_far = connected_components(links)
             placed = often.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
             split = placed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
             open_ = cut(placed.join(split, "shingle", "left_semi"), "similar-open")
-            if open_.limit(1).count():
-                more = cut(_across(open_.join(minima, "node"), similarity, block).join(pairs, ["a", "b"], "left_anti"), "similar-pairs")
-                links = links.unionByName(verified(more))
+            if not open_.limit(1).count():
+                break
+            more = cut(_across(open_.join(minima, "node"), similarity, block, best).join(pairs, ["a", "b"], "left_anti"), "similar-pairs")
+            links = links.unionByName(verified(more))
+            pairs = pairs.unionByName(more)
         linked = connected_components(links)
         groups = nodes.select("node", F.col("__key").alias("least")).join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
         smallest = cut(groups.groupBy("component").agg(F.min("least").alias("__rep")).select("__rep").distinct(), "similar-kept", keep=True)
