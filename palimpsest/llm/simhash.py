@@ -312,12 +312,56 @@ def _of_one_shingle(rows: DataFrame, similarity: float, small: int, reach: int)
     return rows.select("shingle", F.col("n").cast("long").alias("n"), "node").repartitionByRange(*cols).sortWithinPartitions(*cols).mapInArrow(run, "shingle long, n long, a long, b long")
 
 
-def _across(rows: DataFrame, similarity: float, block: int, best: int | None) -> DataFrame:
-    """``(a, b)``: of rows (shingle, n, node, component, minima), those of one shingle and different components that can be similar.
-
-    The largest component of a shingle is left to itself; every other row is compared with all rows of its shingle,
-    block by block, by minima, at five deviations under the similarity. With ``best``, only so many of a row's
-    likeliest partners in a block are given, for a first turn that joins most of a large group.
+def _common(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of sets of hashes, one row for each of ``xs``, one column for each of ``ys``; sets of under 2**24."""
+    hx, hy = np.concatenate(xs), np.concatenate(ys)
+    shared = np.intersect1d(hx, hy)
+    sides = []
+    for sets, h in ((xs, hx), (ys, hy)):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(shared, h), max(len(shared) - 1, 0))
+        known = np.flatnonzero(shared[at] == h) if len(shared) else np.zeros(0, np.int64)
+        known = known[np.argsort(at[known], kind="stable")]
+        sides.append((len(sets), row[known], at[known]))
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    for start in range(0, len(shared), width):
+        blocks = []
+        for count, row, at in sides:
+            s, e = np.searchsorted(at, (start, start + width))
+            m = np.zeros((count, width), np.float32)
+            m[row[s:e], at[s:e] - start] = 1
+            blocks.append(m)
+        out += blocks[0] @ blocks[1].T
+    return out.astype(np.int64)
+
+
+def _forest(p: np.ndarray, q: np.ndarray) -> list[int]:
+    """Positions of those of the links (p, q) that join what the links before them did not."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    _, first = np.unique(np.stack((p, q)), axis=1, return_index=True)
+    for k in first.tolist():
+        r, s = root(int(p[k])), root(int(q[k]))
+        if r != s:
+            parent[max(r, s)] = min(r, s)
+            out.append(k)
+    return out
+
+
+def _across(rows: DataFrame, parts: DataFrame, similarity: float, block: int) -> DataFrame:
+    """``(a, b, sure)``: of rows (shingle, n, node, component), links between those of one shingle and different components.
+
+    ``parts`` (node, minima, shingles) has the minima of each node and, where it is not too large, its set of shingle hashes.
+    The largest component of a shingle is left to itself; every other row is compared with all rows of its shingle, block
+    by block. Pairs whose sets are both there are decided in the block, and only links that join components are given,
+    fewer than the block has components. Other pairs are given, not sure, where their minima agree often enough.
     """
     per = rows.groupBy("shingle", "component").agg(F.count("*").alias("c"))
     groups = per.groupBy("shingle").agg(F.sum("c").alias("all"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most")).where("all > most")
@@ -327,43 +371,62 @@ def _across(rows: DataFrame, similarity: float, block: int, best: int | None) ->
     own = F.xxhash64("node")
     odd = known.where("component <> main").withColumn("p", F.pmod(own, "few")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).withColumn("side", F.lit(0))
     every = known.withColumn("q", F.pmod(own, "many")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("few") - 1))).withColumn("side", F.lit(1))
-    rest = ["side", "n", "node", "component", "minima"]
+    rest = ["side", "n", "node", "component"]
     units = odd.select(*[F.col(c).cast("long") for c in cols], *rest).unionByName(every.select(*[F.col(c).cast("long") for c in cols], *rest))
+    units = units.join(parts, "node").select(*cols, *rest, "minima", "shingles")
     least = _least_alike(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for b in units_of(batches):
             side, n, node, component = (np.asarray(b.column(k)) for k in range(3, 7))
             minima = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(-1, _MINIMA)
+            sets = [None if x is None else np.frombuffer(x, np.uint64) for x in b.column(8).to_pylist()]
+            there = np.array([x is not None for x in sets])
             x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if len(x) and len(y):
-                fit = (component[x][:, None] != component[y][None, :]) & (np.minimum(n[x][:, None], n[y][None, :]) >= similarity * np.maximum(n[x][:, None], n[y][None, :]) - 1e-9)
-                for k in range(0, len(x), 32):
-                    i, j = np.nonzero(fit[k : k + 32])
-                    alike = (minima[x[k + i]] == minima[y[j]]).sum(1)
-                    like = alike >= least
-                    i, j, alike = i[like], j[like], alike[like]
-                    if best is not None and len(i):
-                        order = np.lexsort((j, -alike, i))
-                        i, j = i[order], j[order]
-                        first = np.concatenate(([True], i[1:] != i[:-1]))
-                        place = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
-                        i, j = i[place < best], j[place < best]
-                    s, t = node[x[k + i]], node[y[j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t))], ["a", "b"])
-
-    return units.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(run, "a long, b long").distinct()
-
-
-def keep_one_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, radius: int = 2, small: int = 16, reach: int = 4, block: int = 512) -> DataFrame:
+            if not len(x) or not len(y):
+                continue
+            fit = (component[x][:, None] != component[y][None, :]) & (np.minimum(n[x][:, None], n[y][None, :]) >= similarity * np.maximum(n[x][:, None], n[y][None, :]) - 1e-9)
+            for k in range(0, len(x), 32):
+                i, j = np.nonzero(fit[k : k + 32])
+                fit[k + i, j] = (minima[x[k + i]] == minima[y[j]]).sum(1) >= least
+            decided = fit & there[x][:, None] & there[y][None, :]
+            p, q = np.nonzero(fit & ~decided)
+            s, t, sure = [node[x[p]]], [node[y[q]]], [np.zeros(len(p), bool)]
+            i, j = np.flatnonzero(decided.any(1)), np.flatnonzero(decided.any(0))
+            if len(i):
+                both = _common([sets[k] for k in x[i]], [sets[k] for k in y[j]])
+                p, q = np.nonzero(decided[np.ix_(i, j)] & (both >= similarity * (n[x[i]][:, None] + n[y[j]][None, :] - both) - 1e-9))
+                p, q = x[i[p]], y[j[q]]
+                of = _forest(component[p], component[q])
+                s, t, sure = s + [node[p[of]]], t + [node[q[of]]], sure + [np.ones(len(of), bool)]
+            s, t = np.concatenate(s), np.concatenate(t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t)), pa.array(np.concatenate(sure))], ["a", "b", "sure"])
+        tidy()
+
+    return units.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(run, "a long, b long, sure boolean").distinct()
+
+
+def _set_of(text: str, shingle: int, whole: int):
+    """Column of a text's set of shingle hashes, ascending, eight bytes each; null where there are more than ``whole``."""
+    @F.pandas_udf("binary")
+    def of(block: pd.Series) -> pd.Series:
+        sets = (np.unique(shingle_hashes(x, shingle)) for x in block)
+        return pd.Series([u.tobytes() if len(u) <= whole else None for u in sets], dtype=object)
+
+    return of.asNondeterministic()(F.col(text))
+
+
+def keep_one_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, radius: int = 2, small: int = 16, reach: int = 4, block: int = 1024, whole: int = 1024) -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of its group, linked by Jaccard ``similarity`` of whole texts' shingle sets.
 
     At such a similarity a SimHash of 64 bits differs in too many bits to be looked up, so candidates are prints within
     ``radius`` bits and, for the rest, texts that share a shingle of their prefixes, which misses no pair. Every
-    candidate whose minimum hashes allow it is verified on the whole sets. Up to ``small`` texts of a shingle are paired; more are first linked in a
-    chain by size, then with the likeliest partners of each, and what this did not put into one group is compared
-    with all of the shingle, in blocks, by 64 minimum hashes five deviations under the similarity (one pair in a million at the very similarity
-    is missed). Equal sets are one node. Rows with equal or null keys are treated as in :func:`keep_one`, null and
+    candidate whose minimum hashes allow it is verified on the whole sets. Up to ``small`` texts of a shingle are paired;
+    more are first linked in a chain by size, and what this did not put into one group is compared with all of the shingle
+    in blocks: by the sets themselves, of which a block gives only the links that join groups, and for texts of over
+    ``whole`` different shingles by verified pairs. Minimum hashes leave out what they put five deviations under the similarity (one
+    pair in a million at the very similarity). Equal sets are one node. Rows with equal or null keys are treated as in :func:`keep_one`, null and
     empty texts are copies of each other, other columns are not read, and an empty table gives an empty one.
     """
     with scratch():
@@ -383,28 +446,31 @@ def keep_one_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", s
         often = shared.where("b is null").select("shingle", "n", F.col("a").alias("node"))
         pairs = cut(by_prefix.unionByName(by_print).distinct(), "similar-pairs")
 
-        def verified(pairs: DataFrame) -> DataFrame:
-            x, y = (minima.select(F.col("node").alias(c), F.col("minima").alias(m)) for c, m in (("a", "x"), ("b", "y")))
-            alike = cut(_alike(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), similarity), "similar-alike")
-            wanted = cut(reps.join(alike.select(F.col("a").alias("node")).union(alike.select("b")).distinct(), "node", "left_semi"), "similar-wanted")
+        def texts_of(some: DataFrame) -> DataFrame:
+            wanted = cut(reps.join(some, "node", "left_semi"), "similar-wanted")
             if wanted.count() <= 500_000:  # 24 bytes each; more go through a shuffle of the texts
                 wanted = F.broadcast(wanted)
             found = named.select(F.col(key).alias("__key"), F.xxhash64(text).alias("body"), F.col(text).alias("t")).join(wanted, ["__key", "body"])
-            texts = cut(found.dropDuplicates(["node"]).select("node", "t"), "similar-texts")
+            return found.dropDuplicates(["node"]).select("node", "t")
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            x, y = (minima.select(F.col("node").alias(c), F.col("minima").alias(m)) for c, m in (("a", "x"), ("b", "y")))
+            alike = cut(_alike(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), similarity), "similar-alike")
+            texts = cut(texts_of(alike.select(F.col("a").alias("node")).union(alike.select("b")).distinct()), "similar-texts")
             both = alike.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
             return cut(both.where(_resemble(F.col("ta"), F.col("tb"), shingle, similarity)).select("a", "b"), "similar-links")
 
         links = verified(pairs)
-        for best in (8, None) if often.limit(1).count() else ():  # likely partners first: what they join needs no comparison
-            so_far = connected_components(links)
-            placed = often.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if often.limit(1).count():
+            placed = often.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
             split = placed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
             open_ = cut(placed.join(split, "shingle", "left_semi"), "similar-open")
-            if not open_.limit(1).count():
-                break
-            more = cut(_across(open_.join(minima, "node"), similarity, block, best).join(pairs, ["a", "b"], "left_anti"), "similar-pairs")
-            links = links.unionByName(verified(more))
-            pairs = pairs.unionByName(more)
+            sets = texts_of(open_.select("node").distinct()).select("node", _set_of("t", shingle, whole).alias("shingles"))
+            found = cut(_across(open_, cut(minima.join(sets, "node"), "similar-sets"), similarity, block), "similar-found")
+            links = links.unionByName(found.where("sure").select("a", "b"))
+            more = cut(found.where("not sure").select("a", "b").join(pairs, ["a", "b"], "left_anti"), "similar-pairs")
+            if more.limit(1).count():
+                links = links.unionByName(verified(more))
         linked = connected_components(links)
         groups = nodes.select("node", F.col("__key").alias("least")).join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
         smallest = cut(groups.groupBy("component").agg(F.min("least").alias("__rep")).select("__rep").distinct(), "similar-kept", keep=True)

@@ -405,8 +405,8 @@ def test_groups_over_every_bound_of_the_near_duplicate_stage(spark):
         if before == group:
             break
     df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
-    for small, reach, block in ((16, 4, 512), (2, 1, 7)):
-        got = {r.doc_id for r in simhash.keep_one_similar(df, small=small, reach=reach, block=block).collect()}
+    for small, reach, block, whole in ((16, 4, 1024, 1024), (2, 1, 7, 1024), (2, 1, 7, 31)):
+        got = {r.doc_id for r in simhash.keep_one_similar(df, small=small, reach=reach, block=block, whole=whole).collect()}
         assert got == {i for i in range(len(rows)) if group[i] == i}
 
 
