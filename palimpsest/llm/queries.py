@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embedding_dedup, html_text, language_id, packing, simhash, sketches, stages, substring_dedup, suffix_dedup, toxicity
+from .oracles import ORACLES
 
 #: Places of the public vocabularies; callers of the operators pass their own.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
