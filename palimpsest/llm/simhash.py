@@ -355,41 +355,77 @@ def _forest(p: np.ndarray, q: np.ndarray) -> list[int]:
     return out
 
 
-def _across(rows: DataFrame, parts: DataFrame, similarity: float, block: int) -> DataFrame:
-    """``(a, b, sure)``: of rows (shingle, n, node, component), links between those of one shingle and different components.
+def _fitting(n: np.ndarray, component: np.ndarray, minima: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of rows x and rows y, of different components, have sizes and minima that allow ``similarity``."""
+    least = _least_alike(similarity)
+    fit = (component[x][:, None] != component[y][None, :]) & (np.minimum(n[x][:, None], n[y][None, :]) >= similarity * np.maximum(n[x][:, None], n[y][None, :]) - 1e-9)
+    for k in range(0, len(x), 32):
+        i, j = np.nonzero(fit[k : k + 32])
+        fit[k + i, j] = (minima[x[k + i]] == minima[y[j]]).sum(1) >= least
+    return fit
+
+
+_UNIT = ["shingle", "p", "q", "side", "n", "node", "component"]
+
+
+def _unit_rows(b: pa.RecordBatch) -> tuple:
+    """Of the rows of a unit: n, node, component, minima, and positions of those to be compared and of those they are compared with."""
+    side, n, node, component = (np.asarray(b.column(k)) for k in range(3, 7))
+    minima = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(-1, _MINIMA)
+    return n, node, component, minima, np.flatnonzero(side != 1), np.flatnonzero(side != 0)
 
-    ``parts`` (node, minima, shingles) has the minima of each node and, where it is not too large, its set of shingle hashes.
-    The largest component of a shingle is left to itself; every other row is compared with all rows of its shingle, block
-    by block. Pairs whose sets are both there are decided in the block, and only links that join components are given,
-    fewer than the block has components. Other pairs are given, not sure, where their minima agree often enough.
+
+def _likely(rows: DataFrame, minima: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Rows (shingle, p, q, side, n, node, component, minima) of the blocks of :func:`_across` that have a partner there by size and minima.
+
+    Of rows (shingle, n, node, component). Block (p, q) of a shingle holds rows to be compared (side 0) and those that they are
+    compared with (side 1); where one block is enough for a shingle, a row is in it once (side 2: both). The largest
+    component of a shingle is left to itself. Only minima travel here, so that sets need not follow for rows without a partner.
     """
     per = rows.groupBy("shingle", "component").agg(F.count("*").alias("c"))
     groups = per.groupBy("shingle").agg(F.sum("c").alias("all"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most")).where("all > most")
     groups = groups.select("shingle", "main", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("few"), F.ceil(F.col("all") / block).cast("int").alias("many"))
     known = rows.join(groups, "shingle")
-    cols = ["shingle", "p", "q"]
     own = F.xxhash64("node")
-    odd = known.where("component <> main").withColumn("p", F.pmod(own, "few")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).withColumn("side", F.lit(0))
-    every = known.withColumn("q", F.pmod(own, "many")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("few") - 1))).withColumn("side", F.lit(1))
-    rest = ["side", "n", "node", "component"]
-    units = odd.select(*[F.col(c).cast("long") for c in cols], *rest).unionByName(every.select(*[F.col(c).cast("long") for c in cols], *rest))
-    units = units.join(parts, "node").select(*cols, *rest, "minima", "shingles")
-    least = _least_alike(similarity)
+    whole = known.where("many = 1").withColumn("p", F.lit(0)).withColumn("q", F.lit(0)).withColumn("side", F.when(F.col("component") == F.col("main"), 1).otherwise(2))
+    odd = known.where("many > 1 and component <> main").withColumn("p", F.pmod(own, "few")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).withColumn("side", F.lit(0))
+    every = known.where("many > 1").withColumn("q", F.pmod(own, "many")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("few") - 1))).withColumn("side", F.lit(1))
+    units = reduce(DataFrame.unionByName, [x.select(*[F.col(c).cast("long") for c in _UNIT]) for x in (whole, odd, every)])
+    units = units.join(minima, "node").select(*_UNIT, "minima")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
+        for b in units_of(batches):
+            n, _, component, known, x, y = _unit_rows(b)
+            fit = _fitting(n, component, known, x, y, similarity)
+            some = np.zeros(b.num_rows, bool)
+            some[x[fit.any(1)]] = True
+            some[y[fit.any(0)]] = True
+            yield b.filter(pa.array(some))
+        tidy()
+
+    cols = _UNIT[:3]
+    return units.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(run, ", ".join(f"{c} long" for c in _UNIT) + ", minima binary")
+
+
+def _across(likely: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b, sure)``: links between rows of :func:`_likely` that are in one block and in different components.
+
+    ``sets`` (node, shingles) has the set of shingle hashes of each node where it is not too large, else null. Pairs whose
+    sets are both there are decided in the block, and only links that join components are given, fewer than the block
+    has components. Other pairs are given, not sure, where their minima agree often enough.
+    """
+    units = likely.join(sets, "node").select(*_UNIT, "minima", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash")
         for b in units_of(batches):
-            side, n, node, component = (np.asarray(b.column(k)) for k in range(3, 7))
-            minima = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(-1, _MINIMA)
+            n, node, component, minima, x, y = _unit_rows(b)
             sets = [None if x is None else np.frombuffer(x, np.uint64) for x in b.column(8).to_pylist()]
             there = np.array([x is not None for x in sets])
-            x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(x) or not len(y):
                 continue
-            fit = (component[x][:, None] != component[y][None, :]) & (np.minimum(n[x][:, None], n[y][None, :]) >= similarity * np.maximum(n[x][:, None], n[y][None, :]) - 1e-9)
-            for k in range(0, len(x), 32):
-                i, j = np.nonzero(fit[k : k + 32])
-                fit[k + i, j] = (minima[x[k + i]] == minima[y[j]]).sum(1) >= least
+            fit = _fitting(n, component, minima, x, y, similarity)
             decided = fit & there[x][:, None] & there[y][None, :]
             p, q = np.nonzero(fit & ~decided)
             s, t, sure = [node[x[p]]], [node[y[q]]], [np.zeros(len(p), bool)]
@@ -404,6 +440,7 @@ def _across(rows: DataFrame, parts: DataFrame, similarity: float, block: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t)), pa.array(np.concatenate(sure))], ["a", "b", "sure"])
         tidy()
 
+    cols = _UNIT[:3]
     return units.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(run, "a long, b long, sure boolean").distinct()
 
 
@@ -437,6 +474,8 @@ def keep_one_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", s
         reps = nodes.select("node", "__key", "body")
         own = marked.join(reps, ["node", "__key", "body"], "left_semi")  # a row twice where its key and text are
         minima = cut(own.select("node", "minima").distinct(), "similar-minima")
+        repeated = cut(own.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node", F.lit(True).alias("again")), "similar-repeated")
+        any_repeated = repeated.limit(1).count() > 0  # only their texts need a shuffle to be one row each
         shared = cut(_of_one_shingle(own.select("node", "n", F.explode("prefix").alias("shingle")), similarity, small, reach), "similar-shingles")
         by_prefix = shared.where("b is not null").select("a", "b")
         of_print = nodes.groupBy("fp").agg(F.min("node").alias("first"))
@@ -447,11 +486,13 @@ def keep_one_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", s
         pairs = cut(by_prefix.unionByName(by_print).distinct(), "similar-pairs")
 
         def texts_of(some: DataFrame) -> DataFrame:
-            wanted = cut(reps.join(some, "node", "left_semi"), "similar-wanted")
+            wanted = cut(reps.join(some, "node", "left_semi").join(repeated, "node", "left"), "similar-wanted")
             if wanted.count() <= 500_000:  # 24 bytes each; more go through a shuffle of the texts
                 wanted = F.broadcast(wanted)
             found = named.select(F.col(key).alias("__key"), F.xxhash64(text).alias("body"), F.col(text).alias("t")).join(wanted, ["__key", "body"])
-            return found.dropDuplicates(["node"]).select("node", "t")
+            if not any_repeated:
+                return found.select("node", "t")
+            return found.where("again is null").select("node", "t").union(found.where("again").dropDuplicates(["node"]).select("node", "t"))
 
         def verified(pairs: DataFrame) -> DataFrame:
             x, y = (minima.select(F.col("node").alias(c), F.col("minima").alias(m)) for c, m in (("a", "x"), ("b", "y")))
@@ -465,8 +506,9 @@ def keep_one_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", s
             placed = often.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
             split = placed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
             open_ = cut(placed.join(split, "shingle", "left_semi"), "similar-open")
-            sets = texts_of(open_.select("node").distinct()).select("node", _set_of("t", shingle, whole).alias("shingles"))
-            found = cut(_across(open_, cut(minima.join(sets, "node"), "similar-sets"), similarity, block), "similar-found")
+            likely = cut(_likely(open_, minima, similarity, block), "similar-likely")
+            sets = texts_of(likely.select("node").distinct()).select("node", _set_of("t", shingle, whole).alias("shingles"))
+            found = cut(_across(likely, cut(sets, "similar-sets"), similarity), "similar-found")
             links = links.unionByName(found.where("sure").select("a", "b"))
             more = cut(found.where("not sure").select("a", "b").join(pairs, ["a", "b"], "left_anti"), "similar-pairs")
             if more.limit(1).count():

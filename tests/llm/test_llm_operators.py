@@ -410,6 +410,25 @@ def test_groups_over_every_bound_of_the_near_duplicate_stage(spark):
         assert got == {i for i in range(len(rows)) if group[i] == i}
 
 
+def test_sets_of_shingles_go_only_to_likely_partners(spark, monkeypatch):
+    """Texts that have one frequent line of three in common: their sets are not fetched, and the few near copies still meet."""
+    lines = [[[f"c{k}_{i}_{w}" for w in range(40)] for i in range(12)] for k in range(3)]
+    rows = [lines[0][i] + lines[1][j] + lines[2][(i + j) % 12] + [f"t{i}_{j}_{w}" for w in range((i * 5 + j * 7) % 12)] for i in range(12) for j in range(12)]
+    rows += [rows[0] + [f"copy{k}_{w}" for w in range(k)] for k in (6, 11)]
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)] + [(0, " ".join(rows[0]))], "doc_id long, text string")
+    seen, write = {}, simhash.cut
+
+    def cut(table, label, **more):
+        seen[label] = write(table, label, **more)
+        seen[label + " rows"] = seen[label].count()
+        return seen[label]
+
+    monkeypatch.setattr(simhash, "cut", cut)
+    got = {r.doc_id for r in simhash.keep_one_similar(df, small=2, reach=1).collect()}
+    assert got == set(range(144))
+    assert seen["similar-open rows"] > 200 and seen["similar-sets rows"] <= 3
+
+
 def test_long_words_are_scored_on_one_grid(monkeypatch):
     insult = toxicity._spans("idiot")[0][1:]
     monkeypatch.setattr(toxicity, "span_margins", lambda w, b, spans: np.array([float(insult in s) + 2.0 * (i and s.startswith(toxicity._BEGIN)) for i, s in enumerate(spans)]))
