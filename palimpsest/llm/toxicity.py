@@ -133,12 +133,16 @@ def subsequence_vectors(spans: list[bytes]) -> np.ndarray:
             for k, code in zip(own, _codes(block, at), strict=True):
                 np.add.at(out[k], code, decay)
     out[:, 0] = 0
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    out /= np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out))[:, None], 1e-12)  # in place: rows are long
+    return out
 
 
 def _kernel(spans: list[bytes], z: np.ndarray) -> np.ndarray:
     """Normalised kernel values of spans with the landmark vectors z, a block of spans at a time."""
-    return np.concatenate([subsequence_vectors(spans[k : k + 128]) @ z.T for k in range(0, len(spans), 128)])
+    out = np.empty((len(spans), len(z)))
+    for k in range(0, len(spans), 64):
+        out[k : k + 64] = subsequence_vectors(spans[k : k + 64]) @ z.T
+    return out
 
 
 @dataclass(frozen=True)
@@ -177,17 +181,30 @@ def _landmarks(positive: list[str], negative: list[bytes], landmarks: int) -> _L
     return _Landmarks(z, vec[:, keep] / np.sqrt(val[keep]))
 
 
-def _train(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear machine on features x, labels 1 and -1, and the cost of each row, by Newton steps."""
-    x = np.column_stack((x, np.ones(len(x))))
+def _train(x: np.ndarray, y: np.ndarray, cost: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear machine on features x, labels 1 and -1, and the cost of each row, by Newton steps.
+
+    With ``at``, the k-th label and cost are those of row ``at[k]`` of x. The driver holds x once: rows are copied a block at a time.
+    """
+    at = np.arange(len(x)) if at is None else at
     cost = cost / cost.sum()
-    ridge = np.diag([*np.full(x.shape[1] - 1, 1e-5), 1e-9])
-    w = np.zeros(x.shape[1])
+    ridge = np.diag([*np.full(x.shape[1], 1e-5), 1e-9])
+    w = np.zeros(x.shape[1] + 1)
+
+    def margins(v: np.ndarray) -> np.ndarray:
+        return y * (x @ v[:-1] + v[-1])[at]
+
     for _ in range(40):
-        short = (y * (x @ w) < 1) & (cost > 0)
-        own = x[short] * cost[short, None]
-        new = np.linalg.solve(ridge + own.T @ x[short], own.T @ y[short])
-        loss = [float(0.5 * v @ ridge @ v + 0.5 * cost @ np.maximum(0, 1 - y * (x @ v)) ** 2) for v in (w + t * (new - w) for t in (1, 0.5, 0.25, 0.1, 0.02, 0))]
+        short = np.flatnonzero((margins(w) < 1) & (cost > 0))
+        left, right = ridge.copy(), np.zeros(len(w))
+        for k in range(0, len(short), 1024):
+            rows = short[k : k + 1024]
+            part = np.column_stack((x[at[rows]], np.ones(len(rows))))
+            own = part * cost[rows, None]
+            left += own.T @ part
+            right += own.T @ y[rows]
+        new = np.linalg.solve(left, right)
+        loss = [float(0.5 * v @ ridge @ v + 0.5 * cost @ np.maximum(0, 1 - margins(v)) ** 2) for v in (w + t * (new - w) for t in (1, 0.5, 0.25, 0.1, 0.02, 0))]
         t = (1, 0.5, 0.25, 0.1, 0.02, 0)[int(np.argmin(loss))]
         if not t:  # no step lowers it
             break
@@ -312,8 +329,12 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, max_
         some = 0.3 * n1.sum() / len(pos) * np.ones(len(pos))  # padded spellings, so that none is unlearnt
         rest = n0.sum() / len(neg) * np.ones(len(neg))
         y = np.concatenate((np.ones(len(spans)), -np.ones(len(spans)), np.ones(len(pos)), -np.ones(len(neg))))
-        w, b = _train(np.concatenate((x[: len(spans)], x)), y, np.concatenate((n1, n0, some, rest)))
+        at = np.concatenate((np.arange(len(spans)), np.arange(len(x))))
+        w, b = _train(x, y, np.concatenate((n1, n0, some, rest)), at)
         raw = ToxicityModel(basis.folded(w), b)
+        del x
+    del basis
+    tidy()
     shared = spark.sparkContext.broadcast(raw)
 
     def features(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from html import unescape
@@ -429,6 +430,21 @@ def test_sets_of_shingles_go_only_to_likely_partners(spark, monkeypatch):
     assert seen["similar-open rows"] > 200 and seen["similar-sets rows"] <= 3
 
 
+def test_training_holds_the_features_once():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 120))
+    at = np.concatenate((np.arange(500), np.arange(len(x))))
+    y, cost = np.where(x[at, 0] + 0.3 * rng.normal(size=len(at)) > 0, 1.0, -1.0), rng.integers(1, 5, len(at)).astype(float)
+    y[:500] *= -1  # the first rows count with both labels
+    tracemalloc.start()
+    w, b = toxicity._train(x, y, cost, at)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 0.5 * x.nbytes
+    short = np.maximum(0, 1 - y * (x[at] @ w + b)) * y * cost / cost.sum()
+    assert np.abs(1e-5 * w - x[at].T @ short).max() < 1e-9 and abs(1e-9 * b - short.sum()) < 1e-9
+
+
 def test_long_words_are_scored_on_one_grid(monkeypatch):
     insult = toxicity._spans("idiot")[0][1:]
     monkeypatch.setattr(toxicity, "span_margins", lambda w, b, spans: np.array([float(insult in s) + 2.0 * (i and s.startswith(toxicity._BEGIN)) for i, s in enumerate(spans)]))
