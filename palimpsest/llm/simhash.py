@@ -172,10 +172,9 @@ def _frequent(docs: DataFrame, text: str, key: str, shingle: int, sample: int =
     share = max(1, docs.count() // sample)
     some = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0)
     counted = some.select(F.explode(of.asNondeterministic()(F.col(text))).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    rows = counted.orderBy(F.desc("n"), "h").limit(most).collect()
-    h = np.fromiter((r.h for r in rows), np.int64, len(rows)).view(np.uint64)
+    h = np.asarray(counted.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()["h"], np.int64).view(np.uint64)
     order = np.argsort(h)
-    return h[order], len(rows) - order
+    return h[order], len(h) - order
 
 
 _MINIMA = 64
@@ -365,6 +364,7 @@ def _fitting(n: np.ndarray, component: np.ndarray, minima: np.ndarray, x: np.nda
     return fit
 
 
+_LEAST = 8
 _UNIT = ["shingle", "p", "q", "side", "n", "node", "component"]
 
 
@@ -381,7 +381,11 @@ def _likely(rows: DataFrame, minima: DataFrame, similarity: float, block: int) -
     Of rows (shingle, n, node, component). Block (p, q) of a shingle holds rows to be compared (side 0) and those that they are
     compared with (side 1); where one block is enough for a shingle, a row is in it once (side 2: both). The largest
     component of a shingle is left to itself. Only minima travel here, so that sets need not follow for rows without a partner.
+    A pair of nodes is looked for in one block of the least shingle that both have; to tell, a row has the ``_LEAST`` least ones of its
+    node, and a pair that shares none of those below the block's own shingle is looked for there.
     """
+    # Every shingle of a pair of different components is among the rows, so the least one that both have is, too.
+    least = rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("shingle")), 1, _LEAST).alias("least"))
     per = rows.groupBy("shingle", "component").agg(F.count("*").alias("c"))
     groups = per.groupBy("shingle").agg(F.sum("c").alias("all"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most")).where("all > most")
     groups = groups.select("shingle", "main", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("few"), F.ceil(F.col("all") / block).cast("int").alias("many"))
@@ -391,17 +395,21 @@ def _likely(rows: DataFrame, minima: DataFrame, similarity: float, block: int) -
     odd = known.where("many > 1 and component <> main").withColumn("p", F.pmod(own, "few")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).withColumn("side", F.lit(0))
     every = known.where("many > 1").withColumn("q", F.pmod(own, "many")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("few") - 1))).withColumn("side", F.lit(1))
     units = reduce(DataFrame.unionByName, [x.select(*[F.col(c).cast("long") for c in _UNIT]) for x in (whole, odd, every)])
-    units = units.join(minima, "node").select(*_UNIT, "minima")
+    units = units.join(minima.join(least, "node"), "node").select(*_UNIT, "minima", F.filter("least", lambda x: x < F.col("shingle")).alias("least"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash")
         for b in units_of(batches):
             n, _, component, known, x, y = _unit_rows(b)
             fit = _fitting(n, component, known, x, y, similarity)
+            i, j = np.flatnonzero(fit.any(1)), np.flatnonzero(fit.any(0))
+            if len(i):
+                before = [np.array(v, np.int64) for v in b.column(8).to_pylist()]
+                fit[np.ix_(i, j)] &= _common([before[k] for k in x[i]], [before[k] for k in y[j]]) == 0
             some = np.zeros(b.num_rows, bool)
             some[x[fit.any(1)]] = True
             some[y[fit.any(0)]] = True
-            yield b.filter(pa.array(some))
+            yield pa.RecordBatch.from_arrays(b.columns[:8], [*_UNIT, "minima"]).filter(pa.array(some))
         tidy()
 
     cols = _UNIT[:3]
