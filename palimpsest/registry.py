@@ -307,7 +307,8 @@ def paper_ids(spark, sf_dir):
 
 @_query("SELECT doc_id, CAST(length(text) - length(replace(text, 'the', 'th')) AS INT) AS n, round(coalesce(nullif(instr(text, 'the'), 0) / length(text), 0), 6) AS at FROM documents")
 def keyword_profile(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit("the")).alias("n"), F.round(F.coalesce(F.instr("text", "the") / F.length("text"), F.lit(0.0)), 6).alias("at"))
+    at = F.coalesce(F.try_divide(F.instr("text", "the"), F.length("text")), F.lit(0.0))  # an empty text has no place, as in SQL
+    return _table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit("the")).alias("n"), (F.round(at * 1e6) / 1e6).alias("at"))  # halves as DuckDB rounds them
 
 
 @_query(r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))[1:10]) AS l FROM documents), t AS (SELECT doc_id, trim(l, ' ') AS l FROM l) SELECT doc_id, max({'n': length(l), 'line': l}).line AS title FROM t WHERE length(l) > 20 AND length(l) < 300 GROUP BY doc_id")

@@ -40,3 +40,22 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def sql_rows(name, path, table):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet/*.parquet'")
+    found = c.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    return sorted((dict(zip(names, r)) for r in found.fetchall()), key=repr)
+
+
+def spark_rows(name, spark, path):
+    return [r.asDict() for r in registry.queries()[name](spark, str(path)).collect()]
+
+
+def test_keyword_profile_of_empty_texts_and_halves(spark, tmp_path):
+    texts = ["", None, "the", "a then the", "x" * 40 + "the" + "x" * 597, "x" * 322 + "the" + "x" * 315]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = sql_rows("keyword_profile", tmp_path, "documents")
+    assert sorted(spark_rows("keyword_profile", spark, tmp_path), key=repr) == want and [r["at"] for r in want[:2]] == [0.0, 0.0]
