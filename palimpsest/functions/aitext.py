@@ -1,11 +1,16 @@
-"""Stylometric signs of machine-written text, as native columns."""
+"""Stylometric signs of machine-written text: indicators over Arrow batches, verdicts as native columns."""
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as K
+from .pieces import struct_of
 
 
 def _mean(a: Column) -> Column:
@@ -16,36 +21,66 @@ def _deviation(a: Column, mean: Column) -> Column:
     return F.sqrt(F.aggregate(F.transform(a, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda s, v: s + v) / F.size(a))
 
 
-def _sizes(parts: Column) -> Column:
-    return F.transform(parts, lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: F.length(w) > 0)).cast("double"))
+_SPACE = " \t\n\x0b\f\r"  # \s of the JVM
+_WORD = re.compile(rf"[^{_SPACE}]+")
+_LETTERS = re.compile("[a-z]+")
+_ENDS = re.compile("[.!?]+")
+_PHRASES = K.AI_PHRASES + K.FILLER_PHRASES
+INDICATORS = ("sentence_variation", "vocabulary", "phrases", "burstiness", "repetition", "uniformity")
+
+
+def _trimmed(s: str) -> str:
+    """As ``^\\s+|\\s+$`` deletes in the JVM, where $ is also before a last line end that \\s has not."""
+    out = s.strip(_SPACE)
+    return out[:-1].rstrip(_SPACE) + out[-1] if out and out[-1] in "\x85\u2028\u2029" and s[-1] == out[-1] else out
+
+
+def _spread(values: list[float]) -> tuple[float, float]:
+    """Mean and deviation, added up in order as the native fold does; not sum(), which compensates."""
+    total = squares = 0.0
+    for v in values:
+        total += v
+    mean = total / len(values)
+    for v in values:
+        squares += (v - mean) * (v - mean)
+    return mean, math.sqrt(squares / len(values))
+
+
+def _repeated(w: list[str]) -> float:
+    grams = list(zip(w, w[1:], w[2:], strict=False))
+    if len(grams) < 2 or len(set(grams)) == len(grams):
+        return 0.0
+    return min(1.0, sum(n > 1 for n in Counter(grams).values()) / len(grams) * 10)
+
+
+def indicators(text: str | None) -> tuple:
+    """The six indicators and the number of words; of a null text, what SQL's least() makes of nulls."""
+    if text is None:
+        return 1.0, 1.0, 1.0, 1.0, 0.0, 0.0, None
+    low = text.lower()
+    w = _LETTERS.findall(low)
+    n_words = sum(1 for _ in _WORD.finditer(text))
+    parts = [_WORD.findall(s) for s in map(_trimmed, _ENDS.split(text)) if len(s) > 10]
+    variation = burst = uniform = 0.5
+    if len(parts) >= 3:
+        mean, deviation = _spread([float(len(s)) for s in parts])
+        variation = min(1.0, deviation / mean / 0.6)
+    if len(parts) >= 5:
+        burst = min(1.0, _spread([sum(map(len, s)) / len(s) for s in parts])[1] / 1.5)
+    vocabulary = 0.5 if len(w) < 50 else min(1.0, len(set(w)) / math.sqrt(len(w)) / 10)
+    phrases = 0.0 if n_words < 50 else min(1.0, sum(p in low for p in _PHRASES) / n_words * 200)
+    paragraphs = [float(len(_WORD.findall(p))) for p in map(_trimmed, text.split("\n\n")) if len(p) > 50]
+    if len(paragraphs) >= 3:
+        mean, deviation = _spread(paragraphs)
+        uniform = 1 - min(deviation / mean, 1.0)
+    return variation, vocabulary, phrases, burst, _repeated(w), uniform, n_words
 
 
 def with_indicators(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the six indicators, each 0 to 1, and the number of words."""
-    t = F.col(text)
-    d = docs.withColumn("__w", F.regexp_extract_all(F.lower(t), F.lit("[a-z]+"), F.lit(0))).withColumn("n_words", F.size(F.filter(F.split(t, r"\s+"), lambda w: F.length(w) > 0)))
-    trimmed = F.transform(F.split(t, r"[.!?]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
-    d = d.withColumn("__s", F.filter(trimmed, lambda s: F.length(s) > 10))
-    d = d.withColumn("__len", _sizes(F.col("__s")))
-    d = d.withColumn("__m", F.when(F.size("__len") > 0, _mean(F.col("__len"))))
-    cv = _deviation(F.col("__len"), F.col("__m")) / F.col("__m")
-    d = d.withColumn("sentence_variation", F.when(F.size("__s") < 3, 0.5).otherwise(F.coalesce(F.least(F.lit(1.0), cv / 0.6), F.lit(0.5))))
-    d = d.withColumn("vocabulary", F.when(F.size("__w") < 50, 0.5).otherwise(F.least(F.lit(1.0), F.size(F.array_distinct("__w")) / F.sqrt(F.size("__w").cast("double")) / 10)))
-    low = F.lower(t)
-    hits = sum((low.contains(p).cast("int") for p in K.AI_PHRASES + K.FILLER_PHRASES), F.lit(0))
-    d = d.withColumn("phrases", F.when(F.col("n_words") < 50, 0.0).otherwise(F.least(F.lit(1.0), hits.cast("double") / F.col("n_words") * 200)))
-    means = F.transform("__s", lambda s: _mean(F.transform(F.filter(F.split(s, r"\s+"), lambda w: F.length(w) > 0), lambda w: F.length(w).cast("double"))))
-    d = d.withColumn("__b", means).withColumn("__bm", F.when(F.size("__b") > 0, _mean(F.col("__b"))))
-    d = d.withColumn("burstiness", F.when(F.size("__s") < 5, 0.5).otherwise(F.least(F.lit(1.0), _deviation(F.col("__b"), F.col("__bm")) / 1.5)))
-    tri = F.when(F.size("__w") >= 3, F.transform(F.sequence(F.lit(1), F.size("__w") - 2), lambda i: F.array_join(F.slice("__w", i, 3), " "))).otherwise(F.array().cast("array<string>"))
-    d = d.withColumn("__t", F.array_sort(tri))
-    # Sorted trigrams: those that equal a neighbour on one side only begin a group of repeats.
-    starts = F.size(F.filter(F.sequence(F.lit(1), F.size("__t") - 1), lambda i: (F.element_at("__t", i) == F.element_at("__t", i + 1)) & ((i == 1) | (F.element_at("__t", F.greatest(i - 1, F.lit(1))) != F.element_at("__t", i)))))
-    d = d.withColumn("repetition", F.when(F.size("__t") < 2, 0.0).otherwise(F.least(F.lit(1.0), starts.cast("double") / F.size("__t") * 10)))
-    paragraphs = F.filter(F.transform(F.split(t, "\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: F.length(p) > 50)
-    d = d.withColumn("__p", _sizes(paragraphs)).withColumn("__pm", F.when(F.size("__p") > 0, _mean(F.col("__p"))))
-    d = d.withColumn("uniformity", F.when(F.size("__p") < 3, 0.5).otherwise(1 - F.least(_deviation(F.col("__p"), F.col("__pm")) / F.col("__pm"), F.lit(1.0))))
-    return d.drop(*[c for c in d.columns if c.startswith("__")])
+    kinds = ", ".join(f"{name} double" for name in INDICATORS) + ", n_words int"
+    d = docs.withColumn("__i", struct_of(indicators, kinds, F.col(text)))
+    return d.withColumns({name: F.col(f"__i.{name}") for name in ("n_words", *INDICATORS)}).drop("__i")
 
 
 #: Weight of each indicator.

@@ -185,3 +185,26 @@ def test_citations_of_documents(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = dict(registry.queries()["citation_types_documents"](spark, str(tmp_path)).collect())
     assert got == dict(enumerate([*kinds.values(), None])) and len(set(got.values())) == 5
+
+
+def interpreted(df):
+    return "lambdafunction" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_indicators_run_no_interpreted_folds(spark):
+    from palimpsest.functions import aitext
+
+    text = "One two three four. Aa bb cc dd ee ff gg! Moreover it ran, it ran, it ran again? Short. The fourth one is here now. And a fifth of them all.\u2028"
+    df = spark.createDataFrame([(0, text), (1, ""), (2, None), (3, text * 3), (4, "\n\n".join(["word " * k for k in (11, 12, 40)]))], "i int, text string")
+    d = aitext.with_indicators(df)
+    assert not interpreted(d)
+    got = {r.i: [getattr(r, k) for k in ("n_words", *aitext.INDICATORS)] for r in d.collect()}
+    assert got[1] == [0, 0.5, 0.5, 0.0, 0.5, 0.0, 0.5] and got[2] == [None, 1.0, 1.0, 1.0, 1.0, 0.0, 0.0]
+    sizes = (4, 7, 8, 6, 6)  # "Short" is too short
+    mean = sum(sizes) / 5
+    assert got[0][0] == 32 and abs(got[0][1] - (sum((n - mean) ** 2 for n in sizes) / 5) ** 0.5 / mean / 0.6) < 1e-12
+    w = "it ran it ran it ran again".split()
+    grams = list(zip(w, w[1:], w[2:]))
+    assert aitext._repeated(w) == min(1.0, sum(grams.count(g) > 1 for g in set(grams)) / len(grams) * 10) == 1.0 and aitext._repeated(["a"] * 3) == 0.0
+    assert abs(got[4][6] - (1 - ((10**2 + 9**2 + 19**2) / 3) ** 0.5 / 21)) < 1e-12 and got[3][3] == 1.0
+    assert [aitext._trimmed(x) for x in (" a \n", "a \u2028", "\u2028 ", " ", "a\x1c")] == ["a", "a\u2028", "\u2028", "", "a\x1c"]
