@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palimpsest.functions.pieces import struct_of
+
 _WORD = re.compile(r"\w+")
 
 
@@ -230,8 +232,14 @@ def filter_sections(text: str | None, aggressive: bool = False, numbered_resume:
 
 
 def section_filter(text: Column | str) -> Column:
-    @F.pandas_udf("text string, removed array<string>, removed_percentage double")
-    def of(t: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([filter_sections(x) for x in t], columns=["text", "removed", "removed_percentage"])
+    return struct_of(filter_sections, "text string, removed array<string>, removed_percentage double", F.col(text) if isinstance(text, str) else text)
+
+
+def _section_sizes(text: str | None) -> tuple[int, list[str], float]:
+    kept, removed, share = filter_sections(text)
+    return len(kept), removed, share
+
 
-    return of.asNondeterministic()(text)
+def section_sizes(text: Column | str) -> Column:
+    """As :func:`section_filter`, with the number of characters kept instead of the text, which stays in the worker."""
+    return struct_of(_section_sizes, "n_chars int, removed array<string>, removed_percentage double", F.col(text) if isinstance(text, str) else text)

@@ -458,7 +458,7 @@ def two_stage_detect(spark, sf_dir):
 
 @_query()
 def section_filter(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", segments.section_filter("text").alias("f")).select("doc_id", F.length("f.text").alias("n_chars"), "f.removed", "f.removed_percentage")
+    return _table(spark, sf_dir, "documents").select("doc_id", segments.section_sizes("text").alias("f")).select("doc_id", "f.n_chars", "f.removed", "f.removed_percentage")
 
 
 _CAPTIONED = "'see Table ' || p_partkey || ': ' || p_name || chr(10) || 'and TABLE 7.  ' || p_type"

@@ -208,3 +208,24 @@ def test_indicators_run_no_interpreted_folds(spark):
     assert aitext._repeated(w) == min(1.0, sum(grams.count(g) > 1 for g in set(grams)) / len(grams) * 10) == 1.0 and aitext._repeated(["a"] * 3) == 0.0
     assert abs(got[4][6] - (1 - ((10**2 + 9**2 + 19**2) / 3) ** 0.5 / 21)) < 1e-12 and got[3][3] == 1.0
     assert [aitext._trimmed(x) for x in (" a \n", "a \u2028", "\u2028 ", " ", "a\x1c")] == ["a", "a\u2028", "\u2028", "", "a\x1c"]
+
+
+def test_sections_of_a_batch_never_lie_as_python_texts(spark, tmp_path):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from palimpsest import registry
+    from palimpsest.functions import pieces
+
+    texts = pa.array([None] + [f"Abstract\nNumber {i}.\nReferences\n" + "A. Name\n" * 2000 for i in range(1000)])
+    form = pa.struct([("n_chars", pa.int32()), ("removed", pa.list_(pa.string())), ("removed_percentage", pa.float64())])
+    tracemalloc.start()
+    got = pieces.structs(segments._section_sizes, form, texts).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < texts.nbytes / 4 and len(got) == 1001 and got[0] == {"n_chars": 0, "removed": [], "removed_percentage": 0.0}
+    assert got[7]["n_chars"] == len("Abstract\nNumber 6.") and got[7]["removed"] == ["references"]
+    spark.createDataFrame([(i, texts[i].as_py()) for i in range(3)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = registry.queries()["section_filter"](spark, str(tmp_path))
+    assert "f.text" not in df._jdf.queryExecution().analyzed().toString() and sorted(map(tuple, df.collect()))[1] == (1, 18, ["references"], got[1]["removed_percentage"])
