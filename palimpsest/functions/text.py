@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
+from .pieces import struct_of
 
 
 def _col(x: Column | str) -> Column:
@@ -31,6 +32,20 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.array_distinct(ngram_list(tokens, n))
 
 
+def _different_grams(tokens: str | None, sizes: tuple[int, ...]) -> tuple[int, ...]:
+    t = tokens.split(" ") if tokens else []
+    return tuple(len(set(zip(*(t[k:] for k in range(n)), strict=False))) for n in sizes)
+
+
+def ngram_numbers(text: Column | str, sizes: tuple[int, ...]) -> Column:
+    """Struct of the numbers of different n-grams of :func:`tokens_b`, ``n3`` for size 3 and so on; 0 for null.
+
+    Tokens are found in the JVM and cross over as one text; a token holds no space, so that tuples differ where joined n-grams do.
+    """
+    joined = F.trim(F.regexp_replace(F.lower(_col(text)), r"[^\p{L}\p{N}_]+", " "))
+    return struct_of(lambda t: _different_grams(t, sizes), ", ".join(f"n{n} int" for n in sizes), joined)
+
+
 def sentences(text: Column | str) -> Column:
     """Trimmed sentences of over 20 characters; a full stop, ! or ?, then white space and a capital A-Z ends one."""
     return F.filter(F.transform(F.split(_col(text), r"(?<=[.!?])\s+(?=[A-Z])"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 20)

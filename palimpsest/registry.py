@@ -235,8 +235,7 @@ def token_stats(spark, sf_dir):
 
 @_query(f"WITH t AS (SELECT doc_id, {_TOK_B} AS b FROM documents) SELECT doc_id, " + ", ".join(f"CAST(len(list_distinct({_grams('b', n)})) AS INT) AS n{n}" for n in (3, 4, 5, 7)) + " FROM t")
 def ngram_counts(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", T.tokens_b("text").alias("b"))
-    return d.select("doc_id", *[F.size(T.ngrams(F.col("b"), n)).alias(f"n{n}") for n in (3, 4, 5, 7)])
+    return _table(spark, sf_dir, "documents").select("doc_id", T.ngram_numbers("text", (3, 4, 5, 7)).alias("g")).select("doc_id", "g.*")
 
 
 @_query(r"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(31) || '\2', 'g'), chr(31))) AS s FROM documents),

@@ -210,6 +210,16 @@ def test_indicators_run_no_interpreted_folds(spark):
     assert [aitext._trimmed(x) for x in (" a \n", "a \u2028", "\u2028 ", " ", "a\x1c")] == ["a", "a\u2028", "\u2028", "", "a\x1c"]
 
 
+def test_ngram_numbers(spark, tmp_path):
+    from palimpsest import registry
+
+    texts = ["A b a b a b a b, A_b a B!", "", None, "x y", "\u00dcber \u6f22\u5b57 \u00bd x\u00b2 \u00fcber \u6f22\u5b57 \u00bd x\u00b2 \u2028 z", "--"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = registry.queries()["ngram_counts"](spark, str(tmp_path))
+    tokens = spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", *[F.size(T.ngrams(T.tokens_b("text"), n)).alias(f"n{n}") for n in (3, 4, 5, 7)])
+    assert sorted(df.collect()) == sorted(tokens.collect()) and df.schema == tokens.schema and not interpreted(df)
+
+
 def test_sections_of_a_batch_never_lie_as_python_texts(spark, tmp_path):
     import tracemalloc
 
